@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def whole_text(df: DataFrame, *keep: str, column: str = "text") -> DataFrame:
 def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``size`` bytes of the column each; a longer text stands alone."""
     at, held = 0, 0
-    lengths = pa.compute.binary_length(batch.column(column).cast(pa.binary())).to_pylist()
+    lengths = pc.binary_length(batch.column(column).cast(pa.binary())).to_pylist()
     for i, n in enumerate(lengths):
         if held and held + (n or 0) > size:
             yield batch.slice(at, i - at)
