@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, imatch, pii, simhash
+from . import common, decontaminate, imatch, pii, simhash, tokenbin
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +36,16 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.new_path(spark, "tokens")
+    tokenbin.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return tokenbin.read(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op4_token_planes": op4_token_planes,
     "op8_decontamination": op8_decontamination,
     "op10_imatch": op10_imatch,
 }
