@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, imatch, pii, simhash, tokenbin
+from . import common, decontaminate, imatch, pii, quality, simhash, tokenbin
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,10 +42,15 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, path)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op4_token_planes": op4_token_planes,
+    "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op10_imatch": op10_imatch,
 }
