@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, imatch, pii, quality, simhash, tokenbin
+from . import common, decontaminate, imatch, licenses, pii, quality, simhash, tokenbin
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,16 +46,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op4_token_planes": op4_token_planes,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_licenses": op9_licenses,
     "op10_imatch": op10_imatch,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pii": pii.oracle_sql(),
     "op8_decontamination": decontaminate.oracle_sql(),
+    "op9_licenses": licenses.oracle_sql(),
 }
