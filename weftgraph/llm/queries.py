@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, imatch, licenses, pii, quality, simhash, tokenbin
+from . import common, decontaminate, imatch, licenses, pii, quality, simhash, tokenbin, wrappers
 
 
 def tokenizer_path(name: str) -> str:
@@ -50,10 +50,15 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op4_token_planes": op4_token_planes,
+    "op5_wrappers": op5_wrappers,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
