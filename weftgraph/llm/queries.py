@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, imatch, licenses, pii, quality, simhash, tokenbin, wrappers
+from . import chat, common, decontaminate, imatch, licenses, pii, quality, simhash, tokenbin, wrappers
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,11 +54,19 @@ def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extracted(table(spark, sf_dir, "pages"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(common.written(chat.formatted(turns), "chat"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op4_token_planes": op4_token_planes,
     "op5_wrappers": op5_wrappers,
+    "op6_chat": op6_chat,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
