@@ -106,5 +106,6 @@ def in_ranges(
             yield from work(now, nulls_first(order(own)), nulls_first(order(ahead)))
 
     rows = rows.select(key, "text")
-    dealt = rows.mapInArrow(packed, "part int, ahead boolean, data binary").repartition(parts, "part").sortWithinPartitions("part")
+    # every range has a partition of its own
+    dealt = rows.mapInArrow(packed, "part int, ahead boolean, data binary").repartitionById(parts, F.col("part"))
     return dealt.mapInArrow(unpacked, schema)

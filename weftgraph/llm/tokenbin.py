@@ -15,11 +15,15 @@ texts; rows without doc_id come first.  Empty input gives an empty file set.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,74 +32,132 @@ from . import blocks, common
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
-#: Words whose ids a task remembers.
-REMEMBERED = 700_000
+#: Words whose ids a worker remembers, and new words that go to the tokenizer at a time.
+REMEMBERED = 300_000
+AT_A_TIME = 8192
 
 FILE_SCHEMA = "part int, chunk int, start long, n_ids long, doc_ids array<long>, doc_n array<int>, blocks array<struct<n:int,planes:array<binary>>>"
 
+#: Words of small letters that stand below U+0100.
+SMALL = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the UTF-8 bytes of the letters up to U+00FF: printable bytes as themselves, the others,
+    in order, as the code points from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    write = {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+    return {c: "".join(write[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
 
 class Encoder:
     """The tokenizer's ids of whole texts.
 
-    Its pre-tokenizer never joins anything over a blank or line end, so texts are cut there, and only words not met before go
-    to the tokenizer.  Also used: it lower-cases, and a final full stop or comma is a token of its own.
+    A tokenizer that splits texts at white space, takes runs of letters together and lower-cases (it is asked for these steps when
+    it is read) never joins anything over a blank or line end.  So texts are cut there, and only words not met before go to the
+    tokenizer; a final full stop or comma is a token of its own; a word of small letters goes to its model at once, as no other
+    step changes it.  With any other tokenizer every whole text is encoded as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        before = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_words = (
+            steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in before] == ["Split", "ByteLevel"] and before[0]["invert"]
+            and before[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and not before[1]["add_prefix_space"]
+            and told["model"]["type"] == "BPE" and not told["model"]["dropout"])
+        self.letters = _byte_letters()
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.size, self.met = (np.zeros(1 << 12, t) for t in (np.int32, np.int32, np.int32))
         self.punctuation = {p: self.tokenizer.encode(p, add_special_tokens=False).ids for p in ".,"}
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of new words."""
-        stems = [w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in words]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
-        ids = [f if len(s) == len(w) else f + self.punctuation[w[-1]] for f, s, w in zip(found, stems, words)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words; one that ends in a full stop or comma has the ids of the rest and of the sign."""
+        signed = [w for w in words if w[-1:] in (".", ",") and w[:-1].isalpha()]
+        plain = set(words).difference(signed)
+        plain.update(w[:-1] for w in signed)
+        plain = list(plain.difference(self.at))
+        for at in range(0, len(plain), AT_A_TIME):
+            some = plain[at : at + AT_A_TIME]
+            ids = self._encoded(some)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._remember(some, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+        for sign, own in self.punctuation.items():
+            some = [w for w in signed if w[-1] == sign]
+            stem = np.fromiter((self.at[w[:-1]] for w in some), np.int64, len(some))
+            size = self.size[stem]
+            ids = self._of(stem)
+            for i in own:
+                ids = np.insert(ids, np.cumsum(size), i)
+                size = size + 1
+            self._remember(some, ids, size)
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        small = [SMALL(w) is not None for w in words]
+        other = iter([e.ids for e in self.tokenizer.encode_batch_fast([w for w, ok in zip(words, small) if not ok], add_special_tokens=False)])
+        model = self.tokenizer.model.tokenize
+        return [[t.id for t in model(w if w.isascii() else w.translate(self.letters))] if ok else next(other) for w, ok in zip(words, small)]
+
+    def _of(self, words: np.ndarray) -> np.ndarray:
+        size = self.size[words]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.start[words] - ends + size, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at]
+
+    def _remember(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         n, first = len(self.at), self.used
-        while len(self.flat) < first + len(new):
+        while len(self.flat) < first + len(ids):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while len(self.start) < n + len(ids):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.flat[first : first + len(new)] = new
-        self.size[n : n + len(ids)] = size
-        self.start[n : n + len(ids)] = first + np.cumsum(size) - size
-        self.used = first + len(new)
-        self.at.update(zip(words, range(n, n + len(ids))))
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if "<|" not in text:
-            try:  # letters that lower-case one by one, so that capitals needn't be told apart
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return [w for w in text.replace("\n", " ").split(" ") if w]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.start) < n + len(words):
+            self.start, self.size, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.met))
+        self.flat[first : first + len(ids)] = ids
+        self.size[n : n + len(words)], self.met[n : n + len(words)] = size, 0
+        self.start[n : n + len(words)] = first + np.cumsum(size) - size
+        self.used = first + len(ids)
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def _forget_rare(self) -> None:
+        """Keeps the words met most, and those at least twice."""
+        n = len(self.at)
+        order = np.argsort(-self.met[:n], kind="stable")[: REMEMBERED // 2]
+        keep = np.sort(order[self.met[order] > 1])
+        words = list(self.at)
+        kept, met, size, ids = [words[i] for i in keep.tolist()], self.met[keep], self.size[keep], self._of(keep)
+        self.forget()
+        self._remember(kept, ids, size)
+        self.met[: len(kept)] = met
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many belong to each text."""
-        split = [self._words(t) for t in texts]
+        if not self.by_words:
+            ids = [e.ids for t in texts.to_pylist() for e in [self.tokenizer.encode(t, add_special_tokens=False)]]
+            return np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids))), np.fromiter(map(len, ids), np.int64, len(ids))
+        # where lower-casing goes letter by letter, capitals needn't be told apart
+        simple = pc.invert(pc.or_(pc.match_substring_regex(texts, "[^\\x00-\\xff]"), pc.match_substring(texts, "<|")))
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(simple, pc.utf8_lower(texts), texts), "\n", " "), " ")
+        per_text = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
         if len(self.at) > REMEMBERED:
-            self.forget()
-        at = self.at
-        if new := {w for ws in split for w in ws if w not in at}:
+            self._forget_rare()
+        distinct = coded.dictionary.to_pylist()
+        if new := [w for w in distinct if w not in self.at]:
             self._learn(new)
-        words = np.fromiter((at[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
-        size = self.size[words]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[words] - ends + size, size) + np.arange(size.sum())]
-        per_text = np.concatenate(([0], np.cumsum([len(ws) for ws in split]))).astype(np.int64)
-        upto = np.concatenate(([0], ends))
-        return ids, upto[per_text[1:]] - upto[per_text[:-1]]
+        known = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        self.met[known] += np.bincount(at, minlength=len(known)).astype(np.int32)
+        words = known[at]
+        upto = np.concatenate(([0], np.cumsum(self.size[words])))
+        return self._of(words), upto[per_text[1:]] - upto[per_text[:-1]]
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
@@ -131,7 +193,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2) ->
 
         for batch in rows.to_batches():
             for piece in common.chunks(batch):
-                ids, counts = encoder.encode(piece.column("text").to_pylist())
+                ids, counts = encoder.encode(piece.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
