@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontaminate, imatch, licenses, pii, quality, simhash, tokenbin, wrappers
+from . import chat, common, decontaminate, imatch, licenses, pieces, pii, quality, simhash, tokenbin, wrappers
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,9 +61,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(common.written(chat.formatted(turns), "chat"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op3_pieces": op3_pieces,
     "op4_token_planes": op4_token_planes,
     "op5_wrappers": op5_wrappers,
     "op6_chat": op6_chat,
