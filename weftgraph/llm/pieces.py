@@ -7,8 +7,9 @@ something else, and around line ends if no piece holds one.  Distinct words go t
 2. equi-join them to the piece table, which is broadcast: its size is that of the model, whatever the corpus;
 3. group the edges by word;
 4. fold: for a unigram model, Viterbi over end positions with ``aggregate``; for a BPE model, whose pieces carry merge ranks and
-   no probabilities, ``aggregate`` over merge steps: each takes the edge of the least rank (then the leftmost) that joins two
-   neighbours, which is what such a model defines.
+   no probabilities, ``aggregate`` over the edges by rank (then from the left): an edge that joins two neighbours at its turn is
+   a merge, which is what such a model defines.  Some pieces have a part whose rank is not below their own and may become
+   possible after their turn; the fold watches for that, and such a word goes to the library.
 
 The ids of words come back to the texts in blocks: a block is some MB of whole texts as codes of its own dictionary, and each
 word is joined once for each block that has it.  Groups stay small: a word in every text costs as many rows as blocks.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import pickle
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +42,11 @@ from . import blocks, common
 MARK = "▁"
 #: Characters of a word that a bit mask of 64 bits has room for.
 LONGEST = 62
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
+#: Bytes of text that are cut into words at a time.
+PART_BYTES = 2 << 20
+#: No piece of a usual model goes from a letter to one of these; the model is asked.
+CUT = "([A-Za-zÀ-ÿ])([.,|!?%$#&*])"
 
 
 class Model:
@@ -54,11 +60,16 @@ class Model:
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(n)]
         self.rows = [(p, i, float(sp.get_score(i))) for i, (p, ok) in enumerate(zip(self.pieces, plain)) if ok]
-        self.longest = max(len(p) for p, _, _ in self.rows)
-        scores = [s for _, _, s in self.rows]
+        rank = {p: -s for p, _, s in self.rows}
+        part = lambda x: -1.0 if len(x) == 1 else rank.get(x)
+        late = {p for p in rank for m in range(1, len(p)) if None not in (a := (part(p[:m]), part(p[m:]))) and max(a) >= rank[p]}
+        self.rows = [(*r, r[0] in late) for r in self.rows]
+        self.cuts = not any(re.search(CUT, r[0]) for r in self.rows)
+        self.longest = max(len(r[0]) for r in self.rows)
+        scores = [r[2] for r in self.rows]
         # BPE scores are whole numbers, minus the rank of the merge
         self.bpe = all(s == int(s) for s in scores)
-        inner = any(MARK in p.lstrip(MARK) for p, _, _ in self.rows) or any("\n" in p for p, _, _ in self.rows)
+        inner = any(MARK in r[0].lstrip(MARK) or "\n" in r[0] for r in self.rows)
         if inner:
             raise ValueError("a piece reaches over words")
         data = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if not ok else p.replace(MARK, " ").encode() for i, (p, ok) in enumerate(zip(self.pieces, plain))]
@@ -85,42 +96,47 @@ def model_of(path: str) -> Model:
     return Model(path)
 
 
-def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+def words_of(texts: pa.Array, cuts: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of all texts, coded, and how many belong to each text ("" may stand among them)."""
     marked = pc.replace_substring(texts, " ", MARK)
     marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(MARK, marked, ""))
     sep = next(c for c in map(chr, range(0x20)) if c != "\n" and not pc.any(pc.match_substring(texts, c)).as_py())
     cut = pc.replace_substring_regex(marked, f"([^{MARK}\n])({MARK})", rf"\1{sep}\2")
+    if cuts:
+        cut = pc.replace_substring_regex(cut, CUT, rf"\1{sep}\2")
     split = pc.split_pattern(pc.replace_substring(cut, "\n", f"{sep}\n{sep}"), sep)
     return split.flatten().dictionary_encode(), np.diff(split.offsets.to_numpy()).astype(np.int64)
 
 
 def bpe(edges: Column, n: Column) -> Column:
-    """Ids of a word from its edges (rank, s, e, id) by merges; null if a character has no piece."""
+    """Ids of a word from its edges (rank, s, e, id, ends, inner, late) by merges; null if it needs other means.
+
+    A mask holds the bounds that still stand.  ends: the bits of an edge's ends; inner: those between them.
+    """
     one = F.lit(1).cast("long")
-    bit = lambda i: F.call_function("shiftleft", one, i)
-    below = lambda i: bit(i) - 1
 
-    def between(m: Column, x: Column) -> Column:
-        return m.bitwiseAND(below(x["e"])).bitwiseAND(F.bitwise_not(below(x["s"] + 1)))
+    def joins(m: Column, x: Column) -> Column:
+        return (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inner"])) == 1)
 
-    def held(m: Column, x: Column) -> Column:
-        ends = bit(x["s"]).bitwiseOR(bit(x["e"]))
-        return m.bitwiseAND(ends) == ends
+    watched = F.filter(edges, lambda x: x["late"])
 
-    def step(m: Column, _: Column) -> Column:
-        best = F.array_min(F.filter(edges, lambda x: held(m, x) & (F.bit_count(between(m, x)) == 1)))
-        return F.when(best.isNull(), m).otherwise(m.bitwiseXOR(between(m, best)))
+    def fold(late: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            new = a["m"].bitwiseAND(F.bitwise_not(x["inner"]))
+            passed = F.exists(late, lambda y: (y["rank"] <= x["rank"]) & joins(new, y))
+            return F.when(joins(a["m"], x), F.struct(new.alias("m"), (a["bad"] | passed).alias("bad"))).otherwise(a)
 
-    merged = F.aggregate(F.sequence(F.lit(1), n), below(n + 1), step)
+        all_bounds = (F.call_function("shiftleft", one, n + 1) - 1).alias("m")
+        return F.aggregate(F.filter(edges, lambda x: x["inner"] != 0), F.struct(all_bounds, F.lit(False).alias("bad")), step)
 
-    def tokens(m: Column) -> Column:
-        kept = F.filter(edges, lambda x: held(m, x) & (between(m, x) == 0))
+    def tokens(a: Column) -> Column:
+        m = a["m"]
+        kept = F.filter(edges, lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (m.bitwiseAND(x["inner"]) == 0))
         ids = F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))), lambda x: x["id"])
-        return F.when(F.size(ids) == F.bit_count(m) - 1, ids)
+        return F.when(~a["bad"] & (F.size(ids) == F.bit_count(m) - 1), ids)
 
-    # the mask is made once, as the only element of an array
-    return F.get(F.transform(F.array(merged), tokens), F.lit(0))
+    # made once each, as the only element of an array
+    return F.get(F.transform(F.transform(F.array(watched), fold), tokens), F.lit(0))
 
 
 def viterbi(edges: Column, n: Column) -> Column:
@@ -138,31 +154,40 @@ def viterbi(edges: Column, n: Column) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, is_bpe: bool) -> DataFrame:
-    """(word, ids) for words(word), each distinct, from pieces(piece, id, score); words that need other means are missing."""
+    """(word, ids) for words(word), each distinct, from pieces(piece, id, score, late); words that need other means are missing."""
     n = F.char_length("word")
-    ends = lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring("word", s + 1, k).alias("piece")))
-    parts = words.where((n > 0) & (n <= LONGEST)).select("word", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), ends))).alias("x"))
-    found = parts.select("word", "x.s", "x.e", "x.piece").join(F.broadcast(pieces), "piece")
-    grouped = found.groupBy("word").agg(F.collect_list(F.struct((-F.col("score")).alias("rank"), "s", "e", "id")).alias("edges"))
+    parts = words.where((n > 0) & (n <= LONGEST)).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    parts = parts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, n))).alias("e"))
+    found = parts.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    s, e = F.col("s"), F.col("e")
+    edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner"), "late")
+    grouped = found.groupBy("word").agg(F.collect_list(edge).alias("edges")).withColumn("edges", F.sort_array("edges"))
     return grouped.select("word", (bpe if is_bpe else viterbi)(F.col("edges"), n).alias("ids")).where("ids is not null")
 
 
-def _blocks(rows: DataFrame, what: str, schema: str) -> DataFrame:
+def _blocks(rows: DataFrame, what: str, schema: str, cuts: bool) -> DataFrame:
     """Blocks of rows(doc_id, text): (block, data) with texts as codes of the words, or (block, code, word)."""
 
     def run(batches):
         for table in blocks.gathered(batches, BLOCK_BYTES):
-            texts = table.column("text").combine_chunks()
-            texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-            coded, counts = words_of(texts)
-            codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-            sums = [hashlib.sha256(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
+            coded, counts, sums = [], [], []
+            for batch in table.to_batches():
+                for part in common.chunks(batch, size=PART_BYTES):
+                    one, n = words_of(part.column("text"), cuts)
+                    coded.append(one)
+                    counts.append(n)
+                    sums += [hashlib.sha256(t).digest() for t in common.texts(part)]
+            coded, counts = pa.chunked_array(coded).unify_dictionaries(), np.concatenate(counts)
+            codes, words = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]), coded.chunk(0).dictionary
             block = np.array([xxhash.xxh64_intdigest(codes.tobytes() + b"".join(sums))], np.uint64).view(np.int64)
             if what == "words":
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block, len(words))), pa.array(np.arange(len(words), dtype=np.int32)), words], ["block", "code", "word"])
             else:
                 data = zstandard.compress(pickle.dumps((table.column("doc_id").to_pylist(), counts, codes.astype(np.int32), words.to_pylist(), sums)), 3)
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array([data], pa.binary())], ["block", "data"])
+            del coded, words, codes
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
@@ -176,8 +201,8 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     model = model_of(path)
     rows = common.whole_text(docs, "doc_id")
     key = docs.schema["doc_id"].dataType
-    words = _blocks(rows, "words", "block long, code int, word string")
-    table = spark.createDataFrame(model.rows, "piece string, id int, score double")
+    words = _blocks(rows, "words", "block long, code int, word string", model.cuts)
+    table = spark.createDataFrame(model.rows, "piece string, id int, score double, late boolean")
     known = common.written(lattice(words.select("word").distinct(), table, model.longest, model.bpe), "words")
 
     def packed(batches):
@@ -207,7 +232,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         yield from out()
 
     back = words.join(known, "word").select("block", "code", "ids").mapInArrow(packed, "block long, data binary").withColumn("kind", F.lit(0))
-    texts = _blocks(rows, "texts", "block long, data binary").withColumn("kind", F.lit(1))
+    texts = _blocks(rows, "texts", "block long, data binary", model.cuts).withColumn("kind", F.lit(1))
 
     def finish(parts: list[bytes], data: bytes) -> Iterator[pa.RecordBatch]:
         own = model_of(path)
