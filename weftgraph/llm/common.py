@@ -59,8 +59,15 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch that hold whole texts; the JVM and the Python worker each hold a batch for every running task.
+BATCH_ROWS = 1000
+
+
 def whole_text(df: DataFrame, *keep: str, column: str = "text") -> DataFrame:
-    """The named columns and the text, null as empty."""
+    """The named columns and the text, null as empty; batches to Python are kept small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
     return df.select(*keep, F.coalesce(F.col(column), F.lit("")).alias(column))
 
 

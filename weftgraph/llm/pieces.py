@@ -43,6 +43,8 @@ MARK = "▁"
 #: Characters of a word that a bit mask of 64 bits has room for.
 LONGEST = 62
 BLOCK_BYTES = 10 << 20
+#: Words whose ids are packed at a time, by block.
+PACK_ROWS = 200_000
 #: Bytes of text that are cut into words at a time.
 PART_BYTES = 2 << 20
 #: No piece of a usual model goes from a letter to one of these; the model is asked.
@@ -206,30 +208,29 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     known = common.written(lattice(words.select("word").distinct(), table, model.longest, model.bpe), "words")
 
     def packed(batches):
-        held: dict[int, list] = {}
+        held: list[pa.RecordBatch] = []
         n = 0
 
         def out():
-            for block, parts in held.items():
-                data = zstandard.compress(pickle.dumps(tuple(np.concatenate(x) for x in zip(*parts))), 3)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
-            held.clear()
-
-        for batch in batches:
-            block, code, ids = (batch.column(i) for i in range(3))
-            block, code = block.to_numpy(zero_copy_only=False), code.to_numpy(zero_copy_only=False)
+            table = pa.Table.from_batches(held)
+            block, code = (table.column(i).to_numpy() for i in (0, 1))
+            ids = table.column(2).combine_chunks()
             size, flat = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int32), ids.flatten().to_numpy(zero_copy_only=False)
             begin = np.concatenate(([0], np.cumsum(size)))
             order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            for some in np.split(order, cuts):
+            for some in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
                 at = np.repeat(begin[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
-                held.setdefault(int(block[some[0]]), []).append((code[some], size[some], flat[at].astype(np.uint32)))
-            n += len(block)
-            if n > 1_000_000:
+                data = zstandard.compress(pickle.dumps((code[some], size[some], flat[at].astype(np.uint32))), 3)
+                yield pa.RecordBatch.from_arrays([pa.array([block[some[0]]], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK_ROWS:
                 yield from out()
-                n = 0
-        yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
 
     back = words.join(known, "word").select("block", "code", "ids").mapInArrow(packed, "block long, data binary").withColumn("kind", F.lit(0))
     texts = _blocks(rows, "texts", "block long, data binary", model.cuts).withColumn("kind", F.lit(1))
