@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,46 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker expands at a time.
-CHUNK_BYTES = 4 << 20
-
+from ..sources.shared import new_path, removed, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
+__all__ = ["chunks", "components", "n_parts", "new_path", "removed", "shared_dir", "texts", "whole_text", "written"]
 
-    Only where the session has none (tests, a single machine) a temporary folder is made, and removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None)
-        if not found:
-            found = shared_dir.own = tempfile.mkdtemp(prefix="weftgraph-")
-            atexit.register(shutil.rmtree, found, True)
-    return found
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a written table in the shared folder: cuts the lineage, and survives lost executors."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def removed(*frames: DataFrame) -> None:
-    """Deletes the tables that written() made, once nothing reads them any more."""
-    for df in frames:
-        path = getattr(df, "_written_path", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+#: Bytes of text that a Python worker expands at a time.
+CHUNK_BYTES = 4 << 20
 
 
 def n_parts(spark: SparkSession) -> int:

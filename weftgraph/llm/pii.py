@@ -146,21 +146,22 @@ def redacted(docs: DataFrame, least_score: int = 50) -> DataFrame:
 
     Spans that overlap become one, named by the kind of the first.  Null texts stay null.
     """
-    found = spans(docs.withColumn("__text", F.coalesce("text", F.lit(""))), "__text", "__pii")
-    firm = F.filter("__pii", lambda x: x["score"] >= least_score)
+    # the row goes along as one column, so that no name of it can clash
+    found = spans(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("whole")), "whole")
+    firm = F.filter("pii", lambda x: x["score"] >= least_score)
     ordered = F.array_sort(F.transform(firm, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
     empty = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
 
     def step(a: Column, x: Column) -> Column:
-        gap = F.substring(F.col("__text"), a["p"] + 1, x["s"] - a["p"])
+        gap = F.substring(F.col("whole"), a["p"] + 1, x["s"] - a["p"])
         return F.when(x["s"] < a["p"], F.struct(F.greatest(a["p"], x["e"]).alias("p"), a["o"].alias("o"))).otherwise(
             F.struct(x["e"].alias("p"), F.concat(a["o"], F.array(F.concat(gap, F.lit("["), F.upper(x["k"]), F.lit("]")))).alias("o")))
 
     def whole(a: Column) -> Column:
-        return F.concat(F.array_join(a["o"], ""), F.substring(F.col("__text"), a["p"] + 1, F.char_length("__text")))
+        return F.concat(F.array_join(a["o"], ""), F.substring(F.col("whole"), a["p"] + 1, F.char_length("whole")))
 
-    text = F.when(F.size(firm) > 0, F.aggregate(ordered, empty, step, whole)).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(docs.columns)
+    text = F.when(F.size(firm) > 0, F.aggregate(ordered, empty, step, whole)).otherwise(F.col("row.text"))
+    return found.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def oracle_sql() -> str:
