@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import INSPECTED_CONTRACTS
+from ..sources.shared import written
 
 MOST_NODES, MOST_EDGES = 100_000, 1_000_000
 
@@ -25,17 +26,21 @@ def contract_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def contract_issues(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(code, id): contracts without a consumer, without evidence, edges without evidence, unsure edges, and names used twice."""
+    """(code, id): contracts without a consumer, without evidence, edges without evidence, unsure edges, and names used twice.
+
+    One pass over the edges tells of each which ends are contracts and whether known evidence backs it; the rest reads that.
+    """
     c = contracts(nodes)
-    links = contract_links(nodes, edges)
-    e = edges.join(links.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
-    bridge = e.select("id", F.explode_outer("evidence").alias("ev"))
-    known = bridge.join(evidence.select(F.col("id").alias("ev")), "ev", "left_semi").select("id").distinct()
+    mark = lambda end: c.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_is"))
+    e = edges.select("id", "source", "target", "status", F.explode_outer("evidence").alias("ev")).join(mark("source"), "source", "left").join(mark("target"), "target", "left").where("source_is or target_is")
+    e = e.join(evidence.select(F.col("id").alias("ev"), F.lit(True).alias("known")), "ev", "left")
+    e = written(e.groupBy("id", "source", "target", "status", "source_is", "target_is").agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("backed")), "issues")
     row = lambda df, code, col="id": df.select(F.lit(code).alias("code"), F.col(col).alias("id"))
-    unused = c.join(links.where("direction = 'incoming'").select(F.col("contract").alias("id")).distinct(), "id", "left_anti")
-    backed = links.join(known.select(F.col("id").alias("edge_id")), "edge_id", "left_semi").select(F.col("contract").alias("id")).distinct()
+    used = e.where("target_is").select(F.col("target").alias("id"))
+    ends = F.array_compact(F.array(F.when(F.col("source_is"), F.col("source")), F.when(F.col("target_is"), F.col("target"))))
+    backed = e.where("backed").select(F.explode(ends).alias("id"))
     names = c.groupBy("stable_key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    return (row(unused, "contract_without_consumer").unionByName(row(c.join(backed, "id", "left_anti"), "contract_without_evidence")).unionByName(row(e.join(known, "id", "left_anti"), "link_without_evidence"))
+    return (row(c.join(used, "id", "left_anti"), "contract_without_consumer").unionByName(row(c.join(backed, "id", "left_anti"), "contract_without_evidence")).unionByName(row(e.where("not backed"), "link_without_evidence"))
             .unionByName(row(e.where("status <> 'confirmed'"), "link_not_confirmed")).unionByName(row(names, "duplicate_identity", "low")))
 
 

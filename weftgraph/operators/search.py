@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import normalized, terms
 from ..model import FRESHNESS_PENALTY, NO_FRESHNESS_PENALTY
+from ..sources.shared import written
 
 MOST_TERMS, MOST_HITS, MOST_OFFSET, MOST_FTS, MOST_QUERY_BYTES = 32, 100, 1_000_000, 500, 1024
 K1, B = 1.2, 0.75
@@ -40,6 +41,7 @@ def full_text(rows: DataFrame, query: str, key: str = "id", columns: Sequence[st
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))  # one row
     hits = docs.where(F.arrays_overlap("w", F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")))
     tf = hits.select(key, F.size("w").alias("len"), F.explode(F.filter("w", lambda x: x.isin(wanted))).alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    tf = written(tf, "terms")  # rows that match, once for the counts of documents and for the scores
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # at most 32 rows
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
@@ -134,6 +136,8 @@ def search(
     parts = ("lexical", "kind_score", "fts_score", "scope_score", "centrality_score", "community_score", "evidence_score")
     score = F.round(F.greatest(sum((F.col(p) for p in parts[1:]), F.col(parts[0])) - F.col("penalty"), F.lit(0.0)), 6)
     out = rows.select("id", "kind", "repo_id", "stable_key", "label", *parts, "penalty", score.alias("score"))
+    if any(x is not None for x in (fts, centrality, communities, evidence)):
+        out = written(out, "hits")  # the joins run once for the page and the total
     return page(out, [F.desc("score"), F.asc("stable_key"), F.asc("id")], min(offset, MOST_OFFSET), max(1, min(limit, MOST_HITS)))
 
 
