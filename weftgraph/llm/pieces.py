@@ -186,7 +186,7 @@ def _blocks(rows: DataFrame, what: str, schema: str, cuts: bool) -> DataFrame:
             if what == "words":
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block, len(words))), pa.array(np.arange(len(words), dtype=np.int32)), words], ["block", "code", "word"])
             else:
-                data = zstandard.compress(pickle.dumps((table.column("doc_id").to_pylist(), counts, codes.astype(np.int32), words.to_pylist(), sums)), 3)
+                data = zstandard.compress(pickle.dumps((table.column("doc_id").to_pylist(), counts, codes.astype(np.int32), blocks.pack(pa.table([words], ["word"])), sums)), 3)
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array([data], pa.binary())], ["block", "data"])
             del coded, words, codes
             pa.default_memory_pool().release_unused()
@@ -203,9 +203,11 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     model = model_of(path)
     rows = common.whole_text(docs, "doc_id")
     key = docs.schema["doc_id"].dataType
-    words = _blocks(rows, "words", "block long, code int, word string", model.cuts)
+    # one shuffle serves both the lattice and the way back to the blocks: the filter keeps the plans of its two readers alike
+    words = _blocks(rows, "words", "block long, code int, word string", model.cuts).repartition(common.n_parts(spark), "word")
+    once = words.groupBy("word").agg(F.min("block").alias("block"), F.min("code").alias("code")).where("block is not null and code >= 0").select("word")
     table = spark.createDataFrame(model.rows, "piece string, id int, score double, late boolean")
-    known = common.written(lattice(words.select("word").distinct(), table, model.longest, model.bpe), "words")
+    known = lattice(once, table, model.longest, model.bpe)
 
     def packed(batches):
         held: list[pa.RecordBatch] = []
@@ -232,12 +234,13 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         if n:
             yield from out()
 
-    back = words.join(known, "word").select("block", "code", "ids").mapInArrow(packed, "block long, data binary").withColumn("kind", F.lit(0))
+    back = words.hint("merge").join(known, "word").select("block", "code", "ids").mapInArrow(packed, "block long, data binary").withColumn("kind", F.lit(0))
     texts = _blocks(rows, "texts", "block long, data binary", model.cuts).withColumn("kind", F.lit(1))
 
     def finish(parts: list[bytes], data: bytes) -> Iterator[pa.RecordBatch]:
         own = model_of(path)
         ids_of, counts, codes, names, sums = pickle.loads(zstandard.decompress(data))
+        names = blocks.unpack(names).column(0)
         size, start = np.full(len(names), -1, np.int64), np.zeros(len(names), np.int64)
         flat, at = [], 0
         for part in parts:
@@ -247,20 +250,23 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             flat.append(ids)
             at += len(ids)
         for c in np.flatnonzero(size < 0).tolist():
-            ids = own.encode_word(names[c]) if names[c] else []
+            ids = own.encode_word(names[c].as_py()) if names[c].as_py() else []
             size[c], start[c] = len(ids), at
             flat.append(np.array(ids, np.uint32))
             at += len(ids)
         flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
         rows_at = np.concatenate(([0], np.cumsum(counts)))
         for first in range(0, len(counts), 500):
+            last = min(first + 500, len(counts))
+            w = codes[rows_at[first] : rows_at[last]]
+            n = size[w]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            some = flat[np.repeat(start[w] - upto[1:] + n, n) + np.arange(upto[-1])]
+            ends = upto[rows_at[first + 1 : last + 1] - rows_at[first]]
             out = []
-            for i in range(first, min(first + 500, len(counts))):
-                w = codes[rows_at[i] : rows_at[i + 1]]
-                n = size[w]
-                ids = flat[np.repeat(start[w] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                digest = hashlib.sha256(own.decode(ids)).digest()
-                out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), digest.hex(), digest == sums[i], ids))
+            for i, a, b in zip(range(first, last), [0, *ends[:-1].tolist()], ends.tolist()):
+                digest = hashlib.sha256(own.decode(some[a:b])).digest()
+                out.append((b - a, zlib.crc32(some[a:b].astype("<u4").tobytes()), digest.hex(), digest == sums[i], some[a:b]))
             cols = [pa.array(ids_of[first : first + len(out)], arrow_key), *(pa.array([o[k] for o in out]) for k in range(4))]
             if with_ids:
                 cols.append(pa.array([o[4].astype(np.int32) for o in out], pa.list_(pa.int32())))
