@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``; each stage works on all that the one before it kept.
 
 1. quality: documents that the classifier rejects go.
-2. near_duplicates: of each class of near duplicates the document of the least doc_id stays.
+2. near_duplicates: of each class of near duplicates (five-word shingles, similarity 0.8) the document of the least doc_id stays.
 3. decontamination: documents that hold a passage of the benchmark go.
 4. pii: personal data in the texts is replaced by its kind.
 5. pieces: the texts as SentencePiece ids, with proof that they decode to the texts.
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs, words=4, max_bits=4)
+    return simhash.deduplicated(docs, words=5, similarity=0.8, max_bits=10)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

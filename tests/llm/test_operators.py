@@ -100,10 +100,53 @@ def test_simhash_documents(docs):
     fps = {r.doc_id: plain_fingerprint(r.text) for r in rows}
     want = classes(fps, 4)
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
+
+
+def plain_similar(rows: list[tuple[int, str]], words: int = 5, similarity: float = 0.8, bits: int = 10) -> dict[int, int]:
+    """Classes of texts: equal fingerprints are one, others are joined within the bits and at the similarity of their least documents."""
+    least: dict[int, tuple[int, str]] = {}
+    fps = {}
+    for i, t in sorted(rows):
+        fps[i] = simhash.fingerprint((t or "").encode(), words)
+        least.setdefault(fps[i], (i, t))
+    parent = {f: f for f in least}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = {f: simhash.shingles(t, words) for f, (_, t) in least.items()}
+    keys = sorted(least)
+    for k, a in enumerate(keys):
+        for b in keys[:k]:
+            if (a ^ b).bit_count() <= bits and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    first: dict[int, int] = {}
+    for f in keys:
+        first[root(f)] = min(first.get(root(f), 1 << 62), least[f][0])
+    return {i: first[root(f)] for i, f in fps.items()}
+
+
+def test_similar_documents(spark, docs):
+    want = plain_similar([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_similar_keeps_apart_what_is_not(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(300)]
+    near = base[:150] + ["changed"] + base[151:]
+    far = [w if rng.random() > 0.2 else "x" + w for w in base]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (5, ""), (None, "a")], DOC)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df.where("doc_id is not null")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert sorted((r.doc_id or -1) for r in simhash.deduplicated(df).collect()) == [-1, 1, 3, 4]
+
+
 def test_simhash_empty_and_clashing(spark, odd, clashing):
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
     assert simhash.deduplicated(clashing).collect() == clashing.collect()

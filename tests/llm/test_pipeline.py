@@ -6,7 +6,7 @@ import corpus_pipeline
 from weftgraph.llm import common, queries
 
 from ..conftest import SF
-from .test_operators import classes, plain_fingerprint
+from .test_operators import plain_similar
 
 
 def test_stages(spark):
@@ -21,8 +21,8 @@ def test_stages(spark):
     ids = {k: sorted(r.doc_id for r in v.select("doc_id").collect()) for k, v in seen.items()}
     labels = {r.doc_id: r.quality for r in queries.table(spark, SF, "labels").collect()}
     assert not [i for i in ids["start"] if labels.get(i) == 1 and i not in set(ids["quality"])]
-    kept = {r.doc_id: plain_fingerprint(r.text) for r in seen["quality"].collect()}
-    assert ids["near_duplicates"] == sorted(set(classes(kept, 4).values()))
+    kept = [(r.doc_id, r.text) for r in seen["quality"].collect()]
+    assert ids["near_duplicates"] == sorted(set(plain_similar(kept).values()))
     assert set(ids["decontamination"]) < set(ids["near_duplicates"]) and ids["pii"] == ids["decontamination"] == ids["pieces"]
     assert not seen["pii"].where("text rlike '[A-Za-z0-9]@mail[0-9]'").count()
     assert seen["pii"].where("text is not null and n_chars <> char_length(text)").isEmpty()
