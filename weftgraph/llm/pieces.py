@@ -3,7 +3,7 @@
 Texts are cut into words where no piece can reach over: before a run of word marks (U+2581, written for a blank) that follows
 something else, and around line ends if no piece holds one.  Distinct words go through the lattice:
 
-1. explode the substrings of bounded length (the longest piece) of every word;
+1. explode the substrings of bounded length of every word: up to the longest piece with the same first three characters;
 2. equi-join them to the piece table, which is broadcast: its size is that of the model, whatever the corpus;
 3. group the edges by word;
 4. fold: for a unigram model, Viterbi over end positions with ``aggregate``; for a BPE model, whose pieces carry merge ranks and
@@ -33,20 +33,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks, common
+from .tokenbin import from_planes, planes
 
 MARK = "▁"
 #: Characters of a word that a bit mask of 64 bits has room for.
 LONGEST = 62
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 5 << 20
 #: Words whose ids are packed at a time, by block.
-PACK_ROWS = 200_000
+PACK_ROWS = 100_000
 #: Bytes of text that are cut into words at a time.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: No piece of a usual model goes from a letter to one of these; the model is asked.
 CUT = "([A-Za-zÀ-ÿ])([.,|!?%$#&*])"
 
@@ -159,7 +159,12 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, is_bpe: bool) ->
     """(word, ids) for words(word), each distinct, from pieces(piece, id, score, late); words that need other means are missing."""
     n = F.char_length("word")
     parts = words.where((n > 0) & (n <= LONGEST)).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    parts = parts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, n))).alias("e"))
+    # how long a piece can be that begins like this: from three characters on only where some piece does
+    size = F.char_length("piece")
+    heads = pieces.where(size > 2).groupBy(F.substring("piece", 1, 3).alias("head")).agg(F.max(size).alias("most"))
+    parts = parts.withColumn("head", F.substring("word", F.col("s") + 1, F.lit(3))).join(F.broadcast(heads), "head", "left")
+    most = F.least(F.coalesce("most", F.lit(2)), F.lit(longest))
+    parts = parts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + most, n))).alias("e"))
     found = parts.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece")
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     s, e = F.col("s"), F.col("e")
@@ -186,7 +191,7 @@ def _blocks(rows: DataFrame, what: str, schema: str, cuts: bool) -> DataFrame:
             if what == "words":
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block, len(words))), pa.array(np.arange(len(words), dtype=np.int32)), words], ["block", "code", "word"])
             else:
-                data = zstandard.compress(pickle.dumps((table.column("doc_id").to_pylist(), counts, codes.astype(np.int32), blocks.pack(pa.table([words], ["word"])), sums)), 3)
+                data = pickle.dumps((table.column("doc_id").to_pylist(), counts.astype(np.int32), len(codes), planes(codes), blocks.pack(pa.table([words], ["word"])), sums))
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array([data], pa.binary())], ["block", "data"])
             del coded, words, codes
             pa.default_memory_pool().release_unused()
@@ -219,10 +224,10 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             ids = table.column(2).combine_chunks()
             size, flat = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int32), ids.flatten().to_numpy(zero_copy_only=False)
             begin = np.concatenate(([0], np.cumsum(size)))
-            order = np.argsort(block, kind="stable")
+            order = np.lexsort((code, block))
             for some in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
                 at = np.repeat(begin[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
-                data = zstandard.compress(pickle.dumps((code[some], size[some], flat[at].astype(np.uint32))), 3)
+                data = pickle.dumps((len(some), planes(np.diff(code[some], prepend=0)), planes(size[some]), len(at), planes(flat[at])))
                 yield pa.RecordBatch.from_arrays([pa.array([block[some[0]]], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
 
         for batch in batches:
@@ -231,6 +236,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             if n >= PACK_ROWS:
                 yield from out()
                 held, n = [], 0
+                pa.default_memory_pool().release_unused()
         if n:
             yield from out()
 
@@ -239,13 +245,14 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def finish(parts: list[bytes], data: bytes) -> Iterator[pa.RecordBatch]:
         own = model_of(path)
-        ids_of, counts, codes, names, sums = pickle.loads(zstandard.decompress(data))
+        ids_of, counts, n_codes, codes, names, sums = pickle.loads(data)
+        codes = from_planes(n_codes, codes).astype(np.int64)
         names = blocks.unpack(names).column(0)
         size, start = np.full(len(names), -1, np.int64), np.zeros(len(names), np.int64)
         flat, at = [], 0
         for part in parts:
-            code, n, ids = pickle.loads(zstandard.decompress(part))
-            n = n.astype(np.int64)
+            many, code, n, n_ids, ids = pickle.loads(part)
+            code, n, ids = np.cumsum(from_planes(many, code), dtype=np.int64), from_planes(many, n).astype(np.int64), from_planes(n_ids, ids)
             size[code], start[code] = n, at + np.cumsum(n) - n
             flat.append(ids)
             at += len(ids)
