@@ -32,7 +32,7 @@ from . import common
 #: Index entries of a bucket that one task compares; larger buckets are dealt out in pairs of blocks.
 BLOCK = 50_000
 #: A bucket with more verified pairs for an entry than this emits a spanning forest.
-DENSE = 8
+DENSE = 2
 #: Buckets up to this size are compared many at a time.
 SMALL = 24
 
@@ -255,6 +255,7 @@ def _bucket_links(bucket, kind, fp, max_bits):
     b.append(fp[right[near]])
     for k in np.flatnonzero((index > 0) & (size > SMALL)):
         own, n = fp[start[k] : stop[k]], int(index[k])  # index entries come first
+        own = np.concatenate((np.sort(own[:n]), np.sort(own[n:])))  # so that forests of different buckets share their links
         pairs = _some_pairs(own, n, max_bits)
         if pairs is None:
             pairs = np.array(forest(own, np.arange(len(own)) < n, max_bits), np.int64).reshape(-1, 2)
