@@ -147,6 +147,23 @@ def test_similar_keeps_apart_what_is_not(spark):
     assert sorted((r.doc_id or -1) for r in simhash.deduplicated(df).collect()) == [-1, 1, 3, 4]
 
 
+@pytest.mark.parametrize("most", [500, 40])
+def test_similar_joins_edited_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "TEXTS", most, raising=False)
+    rng = random.Random(11)
+    rows = []
+    for g in range(2):
+        base = [f"{g}w{rng.randrange(5000)}" for _ in range(300)]
+        for i in range(220):
+            copy, edits = list(base), 0 if i == 110 else 5 if i % 20 else 12
+            for at in rng.sample(range(300), edits):
+                copy[at] = f"e{rng.randrange(10**6)}"
+            rows.append((g * 1000 + i, " ".join(copy)))
+    want = plain_similar(rows)
+    assert max(map(list(want.values()).count, set(want.values()))) > 100 and len(set(want.values())) > 20
+    assert {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, DOC)).collect()} == want
+
+
 def test_simhash_empty_and_clashing(spark, odd, clashing):
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
     assert simhash.deduplicated(clashing).collect() == clashing.collect()

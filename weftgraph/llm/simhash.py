@@ -17,6 +17,7 @@ a class, unless all ids of the class are null.  Repeated rows come out as often
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -35,6 +36,10 @@ BLOCK = 50_000
 DENSE = 2
 #: Buckets up to this size are compared many at a time.
 SMALL = 24
+#: Texts of a dense group that one task compares; larger groups are dealt out in pairs of blocks.
+TEXTS = 500
+#: Members of a larger group near its middle, with which all others are compared first.
+PIVOTS = 4
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -237,7 +242,7 @@ def _some_pairs(fp: np.ndarray, n: int, max_bits: int) -> np.ndarray | None:
 
 
 def _bucket_links(bucket, kind, fp, max_bits):
-    """Links (fp, fp) of whole buckets, sorted by bucket and kind."""
+    """Links (fp, fp, 1 if of a forest) of whole buckets, sorted by bucket and kind."""
     cut = np.flatnonzero(np.diff(bucket)) + 1
     start, stop = np.concatenate(([0], cut)), np.concatenate((cut, [len(bucket)]))
     index = np.add.reduceat((kind == 1).astype(np.int64), start)
@@ -253,21 +258,26 @@ def _bucket_links(bucket, kind, fp, max_bits):
     near = (left > right) & (np.bitwise_count(fp[left] ^ fp[right]) <= max_bits)
     a.append(fp[left[near]])
     b.append(fp[right[near]])
+    dense = [np.zeros(len(a[0]), np.int64)]
     for k in np.flatnonzero((index > 0) & (size > SMALL)):
         own, n = fp[start[k] : stop[k]], int(index[k])  # index entries come first
         own = np.concatenate((np.sort(own[:n]), np.sort(own[n:])))  # so that forests of different buckets share their links
         pairs = _some_pairs(own, n, max_bits)
-        if pairs is None:
+        if many := pairs is None:
             pairs = np.array(forest(own, np.arange(len(own)) < n, max_bits), np.int64).reshape(-1, 2)
         a.append(own[pairs[:, 0]])
         b.append(own[pairs[:, 1]])
+        dense.append(np.full(len(pairs), int(many), np.int64))
     a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
-    return pairs
+    return np.unique(np.stack([np.maximum(a, b), np.minimum(a, b), np.concatenate(dense)], 1)[a != b], axis=0)
 
 
-def links(reps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(a, b): links between different fingerprints of reps(fp) within ``max_bits``, enough to join every class."""
+def links(reps: DataFrame, max_bits: int = 4, marked: bool = False) -> DataFrame:
+    """(a, b): links between different fingerprints of reps(fp) within ``max_bits``, enough to join every class.
+
+    If ``marked`` there is a column dense: every pair within ``max_bits`` is a link that is not dense, or joined by dense links.
+    """
+    columns = {"a": "long", "b": "long", "dense": "long"} if marked else {"a": "long", "b": "long"}
     n = reps.count()
     groups, n = grouped_bits(reps, partitions_for(n))
     plan = Plan(groups, max_bits)
@@ -313,10 +323,10 @@ def links(reps: DataFrame, max_bits: int = 4) -> DataFrame:
     def emit(x):
         bucket = np.concatenate(([0], np.cumsum((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0))))
         got = _bucket_links(bucket, x[2], x[3].view(np.uint64), max_bits)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(len(columns))], list(columns))
 
     dealt = rows.select("bucket", "sub", "kind", "fp").repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "kind")
-    return dealt.mapInArrow(join, "a long, b long").distinct()
+    return dealt.mapInArrow(join, ", ".join(f"{k} {v}" for k, v in columns.items())).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
@@ -339,34 +349,129 @@ def shingles(text: str, words: int) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), 42) for i in range(max(1, len(found) - words + 1))}
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
-    """(doc_id, component_id): classes of documents joined by pairs of at least the Jaccard similarity of their word shingles.
+def alike(fp: np.ndarray, label: np.ndarray, sets: list[set[int]], similarity: float, max_bits: int) -> list[tuple[int, int]]:
+    """Verified links (positions) that join, with the labels, all texts that are joined by pairs within both bounds.
 
-    Candidates are fingerprints within ``max_bits``; each candidate pair is verified on the whole texts, one text for each
-    fingerprint.  The wide radius finds nearly all pairs from 0.9 and most from 0.8; verification keeps others apart.
+    Breadth first: a text is compared with those not yet reached only.
     """
-    fps = common.written(fingerprints(docs, words), "fingerprints")
-    reps = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    pairs = common.written(links(reps, max_bits), "candidates")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp")
-    texts = common.whole_text(docs, "doc_id").join(named.select(F.col("least").alias("doc_id"), "fp"), "doc_id").dropDuplicates(["fp"]).select("fp", "text")
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b")
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate([np.fromiter(x, np.uint64, len(x)) for x in sets]), return_inverse=True)[1]
+    begin = np.concatenate(([0], np.cumsum(size)))
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    left, out = np.arange(len(fp)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            a = queue.pop()
+            known = label[left] == label[a]
+            near = np.flatnonzero(~known & (np.bitwise_count(fp[left] ^ fp[a]) <= max_bits) & (np.minimum(size[left], size[a]) >= similarity * np.maximum(size[left], size[a])))
+            mark[flat[begin[a] : begin[a + 1]]] = True
+            both = np.array([np.count_nonzero(mark[flat[begin[x] : begin[x + 1]]]) for x in left[near]], np.int64)
+            mark[flat[begin[a] : begin[a + 1]]] = False
+            near = near[both >= similarity * (size[left[near]] + size[a] - both)]
+            out += [(a, x) for x in left[near].tolist()]
+            known[near] = True
+            queue += left[known].tolist()
+            left = left[~known]
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs(a, b) of nodes of at least the similarity, by texts(node, text)."""
 
     def verify(batches):
+        held = functools.lru_cache(8)(lambda x: shingles(x, words))
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = shingles(x, words), shingles(y, words)
+                x, y = held(x), shingles(y, words)
                 keep.append(len(x & y) >= similarity * len(x | y))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    good = both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+
+
+def _pivots(members: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): the members(grp, fp, node) of each group of more than ``TEXTS``, b, with some near the middle of its fingerprints, a."""
+    middle = members.groupBy("grp").agg(F.count("*").alias("n"), *(F.sum(F.getbit("fp", F.lit(i))).alias(f"bit{i}") for i in range(64))).where(F.col("n") > TEXTS)
+    bits = (F.when(F.col(f"bit{i}") * 2 > F.col("n"), F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64))
+    middle = middle.select("grp", functools.reduce(lambda x, y: x.bitwiseOR(y), bits).alias("middle"))
+    away = members.join(middle, "grp").select("grp", "node", "fp", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("away"))
+    best = away.groupBy("grp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct("away", "node", "fp")).alias("x")).select("grp", F.col("x.node").alias("a"), F.col("x.fp").alias("other"))
+    return members.join(best, "grp").where((F.col("a") != F.col("node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits)).select("a", F.col("node").alias("b")).distinct()
+
+
+def _group_links(members: DataFrame, texts: DataFrame, words: int, similarity: float, max_bits: int) -> DataFrame:
+    """(a, b): verified links that join, with the labels, what belongs together in each group of members(grp, fp, node, label).
+
+    A group of one label needs none.  Of a group of more than ``TEXTS``, what has the most common label meets the others only.
+    """
+    labels = members.groupBy("grp", "label").agg(F.count("*").alias("c"))
+    groups = labels.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    large = F.col("n") > TEXTS
+    groups = groups.select(
+        "grp", F.when(large, F.col("top.label")).alias("most"), F.when(large, F.ceil((F.col("n") - F.col("top.c")) / TEXTS)).otherwise(1).cast("int").alias("rest_blocks"),
+        F.when(large, F.ceil(F.col("top.c") / TEXTS)).otherwise(0).cast("int").alias("most_blocks"))
+    rows = members.join(groups, "grp").withColumn("of_most", F.coalesce(F.col("label") == F.col("most"), F.lit(False)))
+    blocks = F.col("rest_blocks") + F.col("most_blocks")
+    me = F.pmod(F.xxhash64("node", "fp"), F.when(F.col("of_most"), F.col("most_blocks")).otherwise(F.col("rest_blocks"))).cast("int") + F.when(F.col("of_most"), F.col("rest_blocks")).otherwise(0)
+    meets = F.sequence(F.lit(0), F.when(F.col("of_most"), F.col("rest_blocks")).otherwise(blocks) - 1)
+    rows = rows.withColumn("me", me).withColumn("sub", F.transform(meets, lambda y: F.least("me", y).cast("long") * blocks + F.greatest("me", y)))
+    rows = rows.select("grp", "fp", "node", "label", "sub").join(texts, "node").select("grp", F.explode("sub").alias("sub"), "fp", "node", "label", "text")
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if row[:2] != now:
+                    if len(held) > 1:
+                        yield emit(held)
+                    now, held = row[:2], []
+                held.append((*row[2:5], shingles(row[5], words)))
+        if len(held) > 1:
+            yield emit(held)
+
+    def emit(held):
+        fp, node, label = (np.array([x[i] for x in held], np.int64) for i in range(3))
+        got = np.array(alike(fp.view(np.uint64), label, [x[3] for x in held], similarity, max_bits), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[got[:, 0]]), pa.array(node[got[:, 1]])], ["a", "b"])
+
+    return rows.repartition("grp", "sub").sortWithinPartitions("grp", "sub").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
+    """(doc_id, component_id): classes of documents joined by pairs of at least the Jaccard similarity of their word shingles.
+
+    Candidates are fingerprints within ``max_bits``, one text for each fingerprint.  Listed candidates are verified pair by
+    pair on the whole texts.  Dense buckets only tell which fingerprints make a group; inside a group the forest is built over
+    verified pairs, so that no pair is lost behind one that fails.  The wide radius finds nearly all pairs from 0.9 and most
+    from 0.8; verification keeps others apart.
+    """
+    fps = common.written(fingerprints(docs, words).withColumn("node", F.col("fp")), "fingerprints")
+    sets = common.written(fps.groupBy("fp", "node").agg(F.min("doc_id").alias("least")), "fingerprints")
+    pairs = common.written(links(sets, max_bits, marked=True), "candidates")
+    groups = common.components(pairs.where("dense = 1")).select(F.col("node").alias("fp"), F.col("label").alias("grp"))
+    sets = common.written(sets.join(groups, "fp", "left"), "groups")
+    at = lambda x: sets.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("grp").alias(f"{x}_grp"))
+    apart = F.coalesce(F.col("a_grp") != F.col("b_grp"), F.lit(True)) & (F.col("a_node") != F.col("b_node"))
+    listed = pairs.where("dense = 0").select("a", "b").join(at("a"), "a").join(at("b"), "b").where(apart).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    members = sets.where("grp is not null").select("grp", "fp", "node")
+    listed = common.written(listed.unionByName(_pivots(members, max_bits)), "candidates")
+    nodes = sets.groupBy("node").agg(F.min("least").alias("least"))
+    named = listed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct().join(nodes, "node")
+    texts = common.whole_text(docs, "doc_id").join(named.select(F.col("least").alias("doc_id"), "node"), "doc_id").dropDuplicates(["node"]).select("node", "text")
+    good = common.written(_verified(listed, texts, words, similarity), "verified")
     label = common.components(good)
-    by = label.join(reps.select(F.col("fp").alias("node"), "least"), "node")
+    members = members.join(label, "node", "left").select("grp", "fp", "node", F.coalesce("label", "node").alias("label"))
+    more = common.written(_group_links(members, texts, words, similarity, max_bits), "verified")
+    if not more.isEmpty():
+        label = common.components(good.unionByName(more))
+    by = label.join(nodes, "node")
     least = by.groupBy("label").agg(F.min("least").alias("component_id"))
-    by = by.join(least, "label").select(F.col("node").alias("fp"), "component_id")
-    known = reps.join(by, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", "component_id")
+    by = by.join(least, "label").select("node", "component_id")
+    known = nodes.join(by, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(known, "node").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
