@@ -147,6 +147,18 @@ def test_similar_keeps_apart_what_is_not(spark):
     assert sorted((r.doc_id or -1) for r in simhash.deduplicated(df).collect()) == [-1, 1, 3, 4]
 
 
+def all_pairs(rows: list[tuple[int, str]], words: int = 5, similarity: float = 0.8, bits: int = 10) -> dict[int, int]:
+    """Classes of texts joined by all pairs of documents within the bits and at the similarity."""
+    name = {i: i for i, _ in rows}
+    known = [(i, simhash.fingerprint(t.encode(), words), simhash.shingles(t, words)) for i, t in sorted(rows)]
+    for k, (i, a, x) in enumerate(known):
+        for j, b, y in known[:k]:
+            if name[i] != name[j] and (a ^ b).bit_count() <= bits and len(x & y) >= similarity * len(x | y):
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = {d: new if n == old else n for d, n in name.items()}
+    return name
+
+
 @pytest.mark.parametrize("most", [500, 40])
 def test_similar_joins_edited_copies(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "TEXTS", most, raising=False)
@@ -159,11 +171,22 @@ def test_similar_joins_edited_copies(spark, monkeypatch, most):
             for at in rng.sample(range(300), edits):
                 copy[at] = f"e{rng.randrange(10**6)}"
             rows.append((g * 1000 + i, " ".join(copy)))
-    want = plain_similar(rows)
+    want = all_pairs(rows)
     assert max(map(list(want.values()).count, set(want.values()))) > 100 and len(set(want.values())) > 20
     assert {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, DOC)).collect()} == want
 
 
+def test_similar_verifies_equal_fingerprints(spark):
+    said = "same " * 150
+    rows = [(i, said + " ".join(f"{i}w{k}" for k in range(120))) for i in range(1, 4)]
+    near = rows[1][1].replace("2w7 ", "")  # alike to text 2 only, which is not the least of its fingerprint
+    rows += [(4, near), (5, rows[2][1]), (6, rows[2][1] + " 3w118 3w119")]
+    assert len({simhash.fingerprint(t.encode(), 5) for _, t in rows[:3]}) == 1
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 2, 5: 3, 6: 3}
+    assert sorted(r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, DOC)).collect()) == [1, 2, 3]
+
+
 def test_simhash_empty_and_clashing(spark, odd, clashing):
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
     assert simhash.deduplicated(clashing).collect() == clashing.collect()

@@ -42,8 +42,8 @@ TEXTS = 500
 PIVOTS = 4
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """The SimHash of one text, as an unsigned 64-bit number."""
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, seen: list | None = None) -> int:
+    """The SimHash of one text, as an unsigned 64-bit number; seen takes the arrays of shingle hashes."""
     found = text.lower().split()
     if not found:
         return 0
@@ -55,8 +55,10 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     count = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
-        part = [digest(joined[s:e], seed) for s, e in zip(starts[at : at + 65536], stops[at : at + 65536])]
-        bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        part = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + 65536], stops[at : at + 65536])], np.uint64)
+        if seen is not None:
+            seen.append(part)
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         count += bits.sum(0, dtype=np.int64)
     return int(np.packbits(count * 2 > n, bitorder="little").view(np.uint64)[0])
 
@@ -440,37 +442,61 @@ def _group_links(members: DataFrame, texts: DataFrame, words: int, similarity: f
     return rows.repartition("grp", "sub").sortWithinPartitions("grp", "sub").mapInArrow(run, "a long, b long")
 
 
+def _folded(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, fp, node): node is a 64-bit hash of the sorted distinct shingles, the same for equal sets only."""
+
+    def run(batches):
+        for batch in batches:
+            fp, node = [], []
+            for text in common.texts(batch):
+                seen: list[np.ndarray] = []
+                fp.append(fingerprint(text, words, seen=seen))
+                node.append(xxhash.xxh3_64_intdigest(np.unique(np.concatenate(seen)).tobytes() if seen else b""))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node))], ["doc_id", "text_hash", "fp", "node"])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    rows = common.whole_text(docs, "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, f"doc_id {key}, text_hash long, fp long, node long")
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
     """(doc_id, component_id): classes of documents joined by pairs of at least the Jaccard similarity of their word shingles.
 
-    Candidates are fingerprints within ``max_bits``, one text for each fingerprint.  Listed candidates are verified pair by
-    pair on the whole texts.  Dense buckets only tell which fingerprints make a group; inside a group the forest is built over
-    verified pairs, so that no pair is lost behind one that fails.  The wide radius finds nearly all pairs from 0.9 and most
-    from 0.8; verification keeps others apart.
+    Documents of equal shingle sets are one.  Candidates are fingerprints within ``max_bits``, equal ones among them.  Listed
+    candidates are verified pair by pair on the whole texts.  Dense buckets, and fingerprints of several sets with what is
+    near them, only tell which fingerprints make a group; inside a group the forest is built over verified pairs, so that no
+    pair is lost behind one that fails.  The wide radius finds nearly all pairs from 0.9 and most from 0.8; verification
+    keeps others apart.
     """
-    fps = common.written(fingerprints(docs, words).withColumn("node", F.col("fp")), "fingerprints")
-    sets = common.written(fps.groupBy("fp", "node").agg(F.min("doc_id").alias("least")), "fingerprints")
-    pairs = common.written(links(sets, max_bits, marked=True), "candidates")
-    groups = common.components(pairs.where("dense = 1")).select(F.col("node").alias("fp"), F.col("label").alias("grp"))
+    fps = common.written(_folded(docs, words), "fingerprints")
+    first = F.min(F.struct(F.isnull("doc_id").alias("void"), "doc_id", "text_hash")).alias("first")
+    sets = common.written(fps.groupBy("fp", "node").agg(first), "fingerprints")
+    each = common.written(sets.groupBy("fp").agg(F.count("*").alias("many")), "fingerprints")
+    pairs = common.written(links(each, max_bits, marked=True), "candidates")
+    several = each.where("many > 1").select("fp")
+    dense = functools.reduce(DataFrame.unionByName, (pairs.join(several.withColumnRenamed("fp", x), x, "left_semi").select("a", "b") for x in "ab"), pairs.where("dense = 1").select("a", "b"))
+    groups = common.components(dense).select(F.col("node").alias("fp"), F.col("label").alias("grp"))
+    groups = groups.unionByName(several.join(groups, "fp", "left_anti").select("fp", F.col("fp").alias("grp")))
     sets = common.written(sets.join(groups, "fp", "left"), "groups")
     at = lambda x: sets.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("grp").alias(f"{x}_grp"))
     apart = F.coalesce(F.col("a_grp") != F.col("b_grp"), F.lit(True)) & (F.col("a_node") != F.col("b_node"))
     listed = pairs.where("dense = 0").select("a", "b").join(at("a"), "a").join(at("b"), "b").where(apart).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     members = sets.where("grp is not null").select("grp", "fp", "node")
     listed = common.written(listed.unionByName(_pivots(members, max_bits)), "candidates")
-    nodes = sets.groupBy("node").agg(F.min("least").alias("least"))
+    nodes = sets.groupBy("node").agg(F.min("first").alias("first")).select("node", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"))
     named = listed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct().join(nodes, "node")
-    texts = common.whole_text(docs, "doc_id").join(named.select(F.col("least").alias("doc_id"), "node"), "doc_id").dropDuplicates(["node"]).select("node", "text")
+    named = named.select(F.col("least").alias("doc_id"), "text_hash", "node")
+    texts = common.whole_text(docs, "doc_id").withColumn("text_hash", F.xxhash64("text")).join(named, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
     good = common.written(_verified(listed, texts, words, similarity), "verified")
     label = common.components(good)
     members = members.join(label, "node", "left").select("grp", "fp", "node", F.coalesce("label", "node").alias("label"))
     more = common.written(_group_links(members, texts, words, similarity, max_bits), "verified")
     if not more.isEmpty():
         label = common.components(good.unionByName(more))
-    by = label.join(nodes, "node")
+    by = label.join(nodes.select("node", "least"), "node")
     least = by.groupBy("label").agg(F.min("least").alias("component_id"))
     by = by.join(least, "label").select("node", "component_id")
-    known = nodes.join(by, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    known = nodes.select("node", "least").join(by, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(known, "node").select("doc_id", "component_id")
 
 
