@@ -401,6 +401,16 @@ def test_decontamination_odd(spark, odd, monkeypatch):
     assert {r.doc_id: r.n_hit for r in decontaminate.report(odd.dropDuplicates(), bench).collect()}[4] == 3
 
 
+def test_decontamination_is_the_same_by_blocks(spark, odd, monkeypatch):
+    more = odd.unionByName(spark.createDataFrame([(None, "q r s"), (None, None), (3, "x a b y r")], DOC))
+    bench = spark.createDataFrame([(1, "a b"), (2, "x a"), (3, "r"), (None, "s"), (4, "word5 word6 word7")], "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.report(more, bench).collect()), key=repr)
+    assert len(want) == more.count()
+    for size in (1, 6):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted(map(tuple, decontaminate.report(more, bench).collect()), key=repr) == want
+
+
 def test_licenses_odd(spark, odd):
     texts = ["mit license mit license MIT-License", "İmit license", "the general public license general public license x", "mit", None, "K mit licenseé mit license", "released under under the mit license", "this work is licensed in the gnu general public license version 3"]
     got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}

@@ -8,11 +8,10 @@ A window is ``window`` consecutive words of an item; an item of fewer words, but
 inside any occurrence of a window is hit.
 
 The benchmark is the query set: it goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text, so what a task holds is
-bounded however large the benchmark is; the blocks' results are added up by document.
+bounded however large the benchmark is.  A row passes the blocks one after the other and adds up its own results.
 
 Null texts have no words.  A null item_id still hits words, but is no item in the list.  Repeated rows of documents come out
-as often as they came in, if the benchmark fits one block; else as one row for each doc_id.  Empty tables give zero hits, or
-no rows.
+as often as they came in.  Empty tables give zero hits, or no rows.
 """
 
 from __future__ import annotations
@@ -162,28 +161,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
     """
     key, item = (x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (benchmark, "item_id")))
     kind = benchmark.schema["item_id"].dataType
-    rows, parts = common.whole_text(docs, "doc_id"), []
-    for block in _blocks(benchmark):
-        index = Index(block, window)
-
-        def run(batches, index=index):
-            out_type = pa.list_(pa.from_numpy_dtype(np.int64) if kind.typeName() == "long" else pa.int32() if kind.typeName() == "integer" else pa.string())
+    out_type = pa.list_(pa.from_numpy_dtype(np.int64) if kind.typeName() == "long" else pa.int32() if kind.typeName() == "integer" else pa.string())
+    names = ["doc_id", "n_words", "spans", "items", "longest"]
+    schema = f"doc_id {key}, n_words long, spans array<long>, items array<{item}>, longest long"
+    rows, blocks = common.whole_text(docs, "doc_id"), _blocks(benchmark)
+    block, more = next(blocks), True
+    while more:
+        after = next(blocks, None)
+        index, more = Index(block, window), after is not None
+
+        def run(batches, index=index, more=more):
             for batch in batches:
                 for part in common.chunks(batch):
                     got = index.matches(common.texts(part))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([_spans(_covered(*g[:3])) for g in got], pa.list_(pa.int64())),
-                         pa.array([sorted(g[3], key=str) for g in got], out_type), pa.array([g[4] for g in got], pa.int64())], ["doc_id", "n_words", "spans", "items", "longest"])
-
-        parts.append(rows.mapInArrow(run, f"doc_id {key}, n_words long, spans array<long>, items array<{item}>, longest long"))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"),
-        F.flatten(F.collect_set("items")).alias("items"), F.max("longest").alias("longest"))
+                    spans, items, longest = [_spans(_covered(*g[:3])) for g in got], [sorted(g[3], key=str) for g in got], [g[4] for g in got]
+                    if "spans" in part.schema.names:  # the blocks before
+                        spans = [x + y for x, y in zip(part.column("spans").to_pylist(), spans)]
+                        items = [sorted({*x, *y}, key=str) for x, y in zip(part.column("items").to_pylist(), items)]
+                        longest = [max(x, y) for x, y in zip(part.column("longest").to_pylist(), longest)]
+                    columns = [part.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, out_type), pa.array(longest, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, part.column("text")] if more else columns, [*names, "text"] if more else names)
+
+        rows, block = rows.mapInArrow(run, f"{schema}, text string" if more else schema), after
+    return rows
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
