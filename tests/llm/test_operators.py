@@ -336,6 +336,16 @@ def test_wrappers_odd_pages(spark, broadcast, monkeypatch):
     assert wrappers.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_wrappers_odd_hosts(spark, monkeypatch):
+    urls = ["http://[::1]:80/a", "http://u@h.example:port/b", "http://[bad/c", " https://H.example/d", "//h2.example\n/e", "h3.example/f", None, "http://h4.example:8/g"]
+    rows = [(i, u, f"<html><body><nav>menu</nav><article><p>text {i}</p></article></body></html>") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, wrappers.extracted(pages).collect()))
+    assert all(f"text {i}" in text for i, _, text, _ in want)
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, wrappers.extracted(pages).collect())) == want
+
+
 def test_wrapper_tells_what_a_host_repeats(spark):
     page = lambda i: f"<body><p>Menu of the site</p><div><p>{' '.join(f'w{i}x{j}' for j in range(9))}</p>" + "<p>more</p>" * i + "</div></body>"
     rows = [(i, f"http://same/{i}", page(i)) for i in range(5)]

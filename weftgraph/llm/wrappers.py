@@ -355,11 +355,14 @@ def extracted(pages: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, schema)
 
-    host = F.coalesce(F.lower(F.regexp_replace(F.regexp_extract("url", r"^[^:/?#]*:?//([^/?#]*)", 1), r"^.*@|:[0-9]*$", "")), F.lit(""))
+    def hosts(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())], [*batch.schema.names, "host"])
 
     def run_joined(batches):
         for batch in batches:
-            column = batch.column("slots").to_pylist()
-            yield texts(batch, lambda _, i: ready(column[i] or '{"main": true, "paths": []}'))
+            column, page = batch.column("slots").to_pylist(), batch.column("html").to_pylist()
+            yield texts(batch, lambda _, i: ready(column[i] or json.dumps(slots(expression(page[i])))))
 
-    return rows.withColumn("host", host).join(known, "host", "left").select("page_id", "url", "html", "slots").mapInArrow(run_joined, schema)
+    rows = rows.mapInArrow(hosts, f"page_id {key}, url string, html string, host string")
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "slots").mapInArrow(run_joined, schema)
