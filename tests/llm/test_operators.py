@@ -252,15 +252,24 @@ def test_pieces_are_the_librarys(spark, docs):
         ids = sp.encode(t)
         assert r.ids == ids and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest() and r.lossless == (sp.decode(ids) == t)
+    assert sum(r.n_library for r in rows[len(PIECES):]) <= 0.05 * sum(r.n_words for r in rows[len(PIECES):])  # the lattice does the work
     assert pieces.encoded(spark.createDataFrame([], DOC), path).collect() == []
 
 
+def test_pieces_odd(spark, odd, clashing):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    rows = pieces.encoded(odd, path).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in rows) == sorted((i is not None, i or 0) for i, _ in ODD)
+    assert len({tuple(r) for r in rows if r.doc_id == 3}) == 1 and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
+    assert [r.doc_id for r in pieces.encoded(clashing, path).collect()] == [1]
+
+
 def test_unigram_lattice(spark):
     rng = random.Random(2)
     table = {p: -rng.random() * 9 for p in ["a", "b", "c", "ab", "bc", "abc", "ca", "aab", "cab"]}
     p = spark.createDataFrame([(k, i, v, False) for i, (k, v) in enumerate(table.items())], "piece string, id int, score double, late boolean")
     words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["axb"]
-    got = {r.word: sum(list(table.values())[i] for i in r.ids) for r in pieces.lattice(spark.createDataFrame([(w,) for w in set(words)], "word string"), p, 3, False).collect()}
+    got = {r.word: sum(list(table.values())[i] for i in r.ids) for r in pieces.lattice(spark.createDataFrame([(w,) for w in set(words)], "word string"), p, 3, False).where("ids is not null").collect()}
 
     def best(w):
         return 0.0 if not w else max((table[w[:k]] + best(w[k:]) for k in range(1, 4) if w[:k] in table and len(w) >= k), default=-1e9)
