@@ -45,11 +45,13 @@ from .tokenbin import from_planes, planes
 MARK = "▁"
 #: Characters of a word that a bit mask of 64 bits has room for.
 LONGEST = 62
-BLOCK_BYTES = 12 << 20
-#: Bytes of text whose words make a part, on average; parts share a partition in fours, so that they even out.
-PART_OF = 2 << 20
-#: Most bytes of text a partition holds on average.
-PARTITION_OF = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of text whose words make a partition, on average; its edges then fit a task's memory without spilling.
+PARTITION_OF = 4 << 20
+#: Beyond so many partitions they grow (the lattice spills), as a shuffle can't have any number of them; parts stay small.
+MOST_PARTITIONS = 50_000
+#: Parts of a partition: so many even out where hashes deal them unevenly.
+PARTS = 4
 #: Bytes of text that are cut into words at a time.
 PART_BYTES = 1 << 20
 #: No piece of a usual model goes from a letter to one of these; the model is asked.
@@ -266,8 +268,8 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     rows = common.whole_text(docs, "doc_id")
     key = docs.schema["doc_id"].dataType
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = max(common.n_parts(spark), -(-size // PARTITION_OF))
-    parts = max(4 * partitions, -(-size // PART_OF))
+    partitions = max(common.n_parts(spark), min(MOST_PARTITIONS, -(-size // PARTITION_OF)))
+    parts = PARTS * max(partitions, -(-size // PARTITION_OF))
     # one shuffle serves both the lattice and the way back to the blocks
     words = _blocks(rows, "words", "part int, words string", model.cuts, parts).repartition(partitions, "part")
     split = F.split("words", " ")
@@ -340,4 +342,4 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     yield from finish(got, data.as_py())
 
     schema = f"doc_id {key.simpleString()}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean, n_words long, n_library long" + ", ids array<int>" * with_ids
-    return back.select("block", "part", "data", "kind").unionByName(texts).repartition(partitions, "block").sortWithinPartitions("block", "kind").mapInArrow(joined, schema)
+    return back.select("block", "part", "data", "kind").unionByName(texts).repartition(max(common.n_parts(spark), partitions // 4), "block").sortWithinPartitions("block", "kind").mapInArrow(joined, schema)
