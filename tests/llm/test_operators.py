@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weftgraph.llm import chat, common, decontaminate, imatch, licenses, pieces, pii, quality, queries, simhash, tokenbin, wrappers
 
@@ -430,6 +431,33 @@ def test_decontamination_is_the_same_by_blocks(spark, odd, monkeypatch):
         assert sorted(map(tuple, decontaminate.report(more, bench).collect()), key=repr) == want
 
 
+def test_decontamination_longest_matches(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    docs = [(i, word(rng.randrange(30))) for i in range(25)] + [(None, word(20)), (3, "a b"), (90, None)]
+    bench = [(i, word(rng.randrange(1, 14))) for i in range(6)] + [(6, "zz a"), (7, None), (None, "a b c")]
+    want = {}
+    for i, t in bench:
+        if i is None or not t:
+            continue
+        w = t.split()
+        for j in range(len(w)):
+            best = None
+            for d, text in docs:
+                v = (text or "").split()
+                for p in range(len(v)):
+                    n = next((x for x in range(min(len(v) - p, len(w) - j)) if v[p + x] != w[j + x]), min(len(v) - p, len(w) - j))
+                    new = (-n, d is None, d or 0, p)
+                    if n and (best is None or new < best):
+                        best = new
+            if best:
+                want[i, j] = (-best[0], None if best[1] else best[2], best[3])
+    d, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(bench, "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 10):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert {(r.item_id, r["at"]): (r.words, r.doc_id, r["first"]) for r in decontaminate.longest_matches(d, b, window=4).collect()} == want
+
+
 def test_licenses_odd(spark, odd):
     texts = ["mit license mit license MIT-License", "İmit license", "the general public license general public license x", "mit", None, "K mit licenseé mit license", "released under under the mit license", "this work is licensed in the gnu general public license version 3"]
     got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
@@ -440,6 +468,21 @@ def test_licenses_odd(spark, odd):
     assert licenses.report(odd).count() == len(ODD) and licenses.report(odd.limit(0)).collect() == []
 
 
+def test_licenses_count_positions_once(spark):
+    half = " ".join(licenses.TEMPLATES["bsd"][0].split(" ")[:9])
+    whole = licenses.TEMPLATES["bsd"][1]
+    rows = [(1, half), (1, half), (2, "a copy of the license " * 20), (None, whole), (None, whole), (None, half), (3, whole), (3, "x"), (4, None), (5, ""), (6, "x " * 40_000 + whole)]
+    got = sorted(((r.doc_id or -1, r.n_words, r.labels, r.score) for r in licenses.report(spark.createDataFrame(rows, DOC)).collect()))
+    n = len(whole.split(" "))
+    want = [(1, 9, "", 0.0)] * 2 + [(2, 100, "", 0.0)] + [(-1, n, "bsd", 1.0)] * 2 + [(-1, 9, "", 0.0), (3, n, "bsd", 1.0), (3, 1, "", 0.0), (4, 0, "", 0.0), (5, 0, "", 0.0), (6, 40_000 + n, "bsd", 1.0)]
+    assert got == sorted(want)
+
+
+def test_licenses_clashing_columns(spark, clashing):
+    more = clashing.withColumns({"label": F.lit("x"), "template": F.lit(1), "mask": F.lit(2), "text_hash": F.lit("y"), "found_id": F.lit(3)})
+    assert licenses.report(more).collect() == licenses.report(clashing.select("doc_id", "text")).collect()
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, removed, shared_dir, written
 
-__all__ = ["chunks", "components", "n_parts", "new_path", "removed", "shared_dir", "texts", "whole_text", "written"]
+__all__ = ["chunks", "components", "n_parts", "new_path", "removed", "shared_dir", "small_batches", "texts", "whole_text", "written"]
 
 #: Bytes of text that a Python worker expands at a time.
 CHUNK_BYTES = 4 << 20
@@ -25,11 +25,16 @@ def n_parts(spark: SparkSession) -> int:
 BATCH_ROWS = 1000
 
 
-def whole_text(df: DataFrame, *keep: str, column: str = "text") -> DataFrame:
-    """The named columns and the text, null as empty; batches to Python are kept small."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows, from here on in the whole session; a lower setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def whole_text(df: DataFrame, *keep: str, column: str = "text") -> DataFrame:
+    """The named columns and the text, null as empty; batches to Python are kept small (see small_batches)."""
+    small_batches(df.sparkSession)
     return df.select(*keep, F.coalesce(F.col(column), F.lit("")).alias(column))
 
 

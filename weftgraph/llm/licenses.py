@@ -2,17 +2,18 @@
 
 Rolling hashes of ``K`` words of every text are joined to the positions of the same hashes in license templates.  Hits with the
 same difference of positions lie on one diagonal: hits are added up by document, template and diagonal, diagonals within
-``DRIFT`` words of each other are merged (words put in or left out), and a merged span is kept if enough of the template's
-hashes voted for it.
+``DRIFT`` words of each other are merged (words put in or left out).  A merged span is verified: the words of its hits must be the
+template's own, and enough of the template's positions must be covered, each counted once however often its words repeat.
 
 Apart from these, the base: places where the words of a phrase stand consecutively.  They give the base labels and stay,
 whatever the votes say.
 
-The template table is made from the constants below, so its size is fixed and it is broadcast.  Hashing, join and votes go with
-the words of the texts; only votes are shuffled, and they are added up per diagonal before the shuffle.
+The template table is made from the constants below, so its size is fixed and it is broadcast; hashes that are in no template are
+left out of the array before it is exploded.  Only votes are shuffled, and they are added up per diagonal before the shuffle.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.  Null counts as empty: no words, score 0.
-Rows that repeat a doc_id share the votes of all of them; the base is each row's own.  Empty input, empty output.
+Rows are told apart by doc_id and text, so rows that share a doc_id or have none keep their own votes; rows that repeat both
+have the same result each.  Empty input, empty output.
 """
 
 from __future__ import annotations
@@ -65,36 +66,43 @@ def _hash(w: Column, i: Column) -> Column:
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """(hash, template, label, at, grams): every K-gram of every template."""
+    """(hash, gram, template, label, at, grams): every K-gram of every template."""
     rows = [(n, label, text.split(" ")) for n, (label, text) in enumerate((x, t) for x, ts in TEMPLATES.items() for t in ts)]
+    if any(len(w) - K + 1 > 63 for _, _, w in rows):
+        raise ValueError("a template has more positions than a mask has bits")
     t = docs.sparkSession.createDataFrame(rows, "template int, label string, w array<string>")
     t = t.withColumn("grams", F.size("w") - K + 1)
     t = t.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("grams") - 1)))
-    return t.select(_hash(F.col("w"), F.col("at")).alias("hash"), "template", "label", "at", "grams")
+    return t.select(_hash(F.col("w"), F.col("at")).alias("hash"), F.slice("w", F.col("at") + 1, K).alias("gram"), "template", "label", "at", "grams")
 
 
 def matched_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, first, last, share): verified spans of words that follow a template."""
-    w = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
-    grams = F.when(F.size("w") >= K, F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: _hash(F.col("w"), i)))
-    hits = w.select("doc_id", F.posexplode(grams).alias("place", "hash")).join(F.broadcast(templates(docs)), "hash")
-    votes = hits.groupBy("doc_id", "template", "label", "grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("place").alias("first"), (F.max("place") + K - 1).alias("last"))
+    """(doc_id, text_hash, label, first, last, share): verified spans of words that follow a template, once for rows that repeat."""
+    table = templates(docs)
+    known = [r.hash for r in table.select("hash").distinct().collect()]  # fixed in number, as the templates are
+    w = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.coalesce("text", F.lit(""))).alias("w"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.struct(i.alias("place"), _hash(F.col("w"), i).alias("hash")))
+    found = F.transform(F.filter(grams, lambda g: g["hash"].isin(known)), lambda g: F.struct(g["place"].alias("place"), g["hash"].alias("hash"), F.slice("w", g["place"] + 1, K).alias("words")))
+    hits = w.where(F.size("w") >= K).select("doc_id", "text_hash", F.explode(found).alias("g")).select("doc_id", "text_hash", "g.*").join(F.broadcast(table), "hash")
+    hits = hits.where(F.col("words") == F.col("gram"))
+    key = ["doc_id", "text_hash", "template", "label", "grams"]
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("mask")
+    votes = hits.groupBy(*key, (F.col("place") - F.col("at")).alias("diagonal")).agg(mask, F.min("place").alias("first"), (F.max("place") + K - 1).alias("last"))
     # neighbouring diagonals: one list for each document and template, merged by a fold in the order of the diagonals
-    one = F.struct("diagonal", "first", "last", "votes")
-    lists = votes.groupBy("doc_id", "template", "label", "grams").agg(F.array_sort(F.collect_list(one)).alias("d"))
-    empty = F.array().cast("array<struct<diagonal:int,first:int,last:int,votes:bigint>>")
+    one = F.struct("diagonal", "first", "last", "mask")
+    lists = votes.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("d"))
+    empty = F.array().cast("array<struct<diagonal:int,first:int,last:int,mask:bigint>>")
 
     def merge(acc: Column, x: Column) -> Column:
         end = F.get(acc, F.size(acc) - 1)
         near = (F.size(acc) > 0) & (x["diagonal"] - end["diagonal"] <= DRIFT)
-        joined = F.struct(x["diagonal"].alias("diagonal"), F.least(end["first"], x["first"]).alias("first"), F.greatest(end["last"], x["last"]).alias("last"), (end["votes"] + x["votes"]).alias("votes"))
-        plain = F.struct(x["diagonal"].alias("diagonal"), x["first"].alias("first"), x["last"].alias("last"), x["votes"].alias("votes"))
+        joined = F.struct(x["diagonal"].alias("diagonal"), F.least(end["first"], x["first"]).alias("first"), F.greatest(end["last"], x["last"]).alias("last"), end["mask"].bitwiseOR(x["mask"]).alias("mask"))
+        plain = F.struct(x["diagonal"].alias("diagonal"), x["first"].alias("first"), x["last"].alias("last"), x["mask"].alias("mask"))
         return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(plain)))
 
-    merged = lists.select("doc_id", "label", "grams", F.explode(F.aggregate("d", empty, merge)).alias("m"))
-    share = F.least(F.col("m.votes") / F.col("grams"), F.lit(1.0))
-    return merged.select("doc_id", "label", F.col("m.first").alias("first"), F.col("m.last").alias("last"), F.round(share, 6).alias("share")).where(F.col("share") >= VERIFY)
+    merged = lists.select("doc_id", "text_hash", "label", "grams", F.explode(F.aggregate("d", empty, merge)).alias("m"))
+    share = F.bit_count("m.mask") / F.col("grams")
+    return merged.select("doc_id", "text_hash", "label", F.col("m.first").alias("first"), F.col("m.last").alias("last"), F.round(share, 6).alias("share")).where(F.col("share") >= VERIFY)
 
 
 def _starts(joined: Column, phrase: str) -> Column:
@@ -118,15 +126,16 @@ def report(docs: DataFrame) -> DataFrame:
 
     score: 1 with a base place; else the best share of a verified span; else 0.
     """
-    w = words(F.coalesce("text", F.lit("")))
-    base = docs.select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("j"))
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
+    base = base.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("j"))
     base = base.withColumns({f"s{i}": _starts(F.col("j"), p) for i, p in enumerate(PHRASES)}).drop("j")
     places = F.concat(*(F.col(f"s{i}") for i in range(len(PHRASES))))
     labels = F.array_sort(F.array_compact(F.array(*(F.when(F.size(f"s{i}") > 0, F.lit(x)) for i, x in enumerate(PHRASES.values())))))
-    base = base.select("doc_id", "n_words", places.alias("p"), labels.alias("l"))
-    found = matched_spans(docs).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"), F.count("*").alias("n_spans"))
+    base = base.select("doc_id", "text_hash", "n_words", places.alias("p"), labels.alias("l"))
+    found = matched_spans(docs).groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.collect_set("label").alias("more"), F.max("share").alias("share"), F.count("*").alias("n_spans"))
     none = F.array().cast("array<string>")
-    return base.join(found, "doc_id", "left").select(
+    return base.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")), "left").select(
         "doc_id", "n_words", F.size("p").cast("long").alias("n_base"), F.array_min("p").cast("long").alias("first_word"), F.array_max("p").cast("long").alias("last_word"),
         F.array_join("l", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("l", F.coalesce("more", none))), ",").alias("labels"),
         F.when(F.size("p") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"))
@@ -142,10 +151,10 @@ p AS (SELECT * FROM (VALUES {phrases}) AS x(n, label, w)),
 b AS (SELECT doc_id, label, (k - 1) AS pos FROM (SELECT doc_id, p.label, p.w AS pw, d.w[k : k + len(p.w) - 1] AS dw, k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) AS d, p WHERE d.w[k] = p.w[1]) WHERE dw = pw),
 tg AS (SELECT template, label, len(w) - {K - 1} AS grams, (k - 1) AS pos, w[k : k + {K - 1}] AS g FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS k FROM t)),
 dg AS (SELECT doc_id, k - 1 AS place, w[k : k + {K - 1}] AS g FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS k FROM d WHERE len(w) >= {K})),
-v AS (SELECT doc_id, template, label, grams, (place - pos) AS diagonal, count(*) AS votes FROM dg JOIN tg USING (g) GROUP BY ALL),
-r AS (SELECT *, sum(CASE WHEN diagonal - before <= {DRIFT} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run
-  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM v)),
-s AS (SELECT doc_id, label, round(least(sum(votes) / grams, 1.0), 6) AS share FROM r GROUP BY doc_id, template, label, grams, run),
+v AS (SELECT DISTINCT doc_id, template, label, grams, (place - pos) AS diagonal, pos FROM dg JOIN tg USING (g)),
+r AS (SELECT *, sum(CASE WHEN diagonal - before <= {DRIFT} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal, pos) AS run
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, pos) AS before FROM v)),
+s AS (SELECT doc_id, label, round(count(DISTINCT pos) / grams, 6) AS share FROM r GROUP BY doc_id, template, label, grams, run),
 m AS (SELECT doc_id, label, share FROM s WHERE share >= {VERIFY}),
 bb AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
 mm AS (SELECT doc_id, max(share) AS share, count(*) AS n_spans FROM m GROUP BY doc_id),
