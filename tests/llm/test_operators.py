@@ -353,7 +353,9 @@ def test_wrappers_odd_hosts(spark, monkeypatch):
     want = sorted(map(tuple, wrappers.extracted(pages).collect()))
     assert all(f"text {i}" in text for i, _, text, _ in want)
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
-    assert sorted(map(tuple, wrappers.extracted(pages).collect())) == want
+    for hot in (500, 5):  # every host is hot, or none
+        monkeypatch.setattr(wrappers, "HOT", hot)
+        assert sorted(map(tuple, wrappers.extracted(pages).collect())) == want
 
 
 def test_wrapper_tells_what_a_host_repeats(spark):
@@ -363,6 +365,26 @@ def test_wrapper_tells_what_a_host_repeats(spark):
     assert all("Menu" not in t and f"w{i}x0" in t for i, t in got.items())
 
 
+def test_wrapper_tells_by_alignment_where_names_say_nothing(spark):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    inside = lambda i: f'<body><div class="q1">top</div><article><h1>Title {i}</h1><div class="q7"><span>House style of this site</span></div><p>{words(i, 9)}</p><div class="q8">one {i}</div></article></body>'
+    bare = lambda i: f'<body><div class="q1"><a href="/">home</a></div><div class="q2"><p>{words(i, 9)}</p><p>more {i}</p></div><div class="q3">Made with care</div></body>'
+    rows = [(i, f"http://inside/{i}", inside(i)) for i in range(4)] + [(10 + i, f"http://bare/{i}", bare(i)) for i in range(4)]
+    rows += [(20, "http://one/1", inside(1)), (21, "http://two/1", inside(1)), (22, "http://two/2", inside(1)), (23, "http://two/3", inside(1))]
+    got = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == f"Title {i} {words(i, 9)} one {i}" and got[10 + i] == f"{words(i, 9)} more {i}"
+    # a page alone, or pages that are all the same, can't tell: nothing is dropped
+    assert {got[k] for k in (20, 21, 22, 23)} == {f"Title 1 House style of this site {words(1, 9)} one 1"}
+
+
+def test_wrappers_repeats_and_other_columns(spark):
+    rows = [(1, "http://h/1", "<article><p>a</article>", "s", 1, "w"), (1, "http://h/1", "<article><p>a</article>", "s", 1, "w"), (None, "http://h/1", "<p>" + "b " * 60_000, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, text long, slots string")
+    got = [tuple(r) for r in wrappers.extracted(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "http://h/1", "a", 1)] * 2 + [(None, "http://h/1", ("b " * 60_000).strip(), 119_999)], key=repr)
+
+
 # --- 6 --------------------------------------------------------------------------------------------------------------
 
 TURNS = [(1, 0, "us:er\\", "a\\"), (1, 1, "assistant", None), (1, 2, None, " </turn>\n### x: "), (1, 2, "assistant", "é😀### ####"), (2, 0, "assistant", ""), (None, 0, "assistant", "n"), (None, None, "user", "\n"), (3, 1, "assistant", "\\\\###\\"), (3, 1, "assistant", "\\\\###\\"),

@@ -3,15 +3,19 @@
 A page is read as a stream of tokens and folded into a union-free regular expression: a tree of elements in which neighbours of
 one kind, or tandem repeats of a short run of kinds, become repeated groups.  Expressions of the same host are aligned step by
 step: elements that both have are matched in order and aligned inside, an element that one lacks becomes optional, texts that
-differ become slots.  The outcome is the host's wrapper.  Its slots are then told apart: text of the article, or of menus, headers,
-footers, sidebars, notices, adverts, forms and comments (by element, role, class and id; where a host has no article element, by
-links and by texts that are the same on all its pages, too).  Extraction reads each page once more against the wrapper of its host.
+differ become slots.  The outcome is the host's wrapper.  It is then told apart: text of the article, or of menus, headers,
+footers, sidebars, notices, adverts, forms and comments.  Where an element, role, class or id names one of these, the name tells.
+The rest the alignment tells, inside an article element as well as on hosts without one: what is the same on each of at least
+``TELLING`` pages while other texts of the article differ belongs to the host and not to the article; without an article element,
+texts that are mostly links, too.  Extraction reads each page once more against the wrapper of its host.
 
 Alignment is merged in each task first, so a host costs as many rows as tasks, not pages, and then in two steps; no task holds
-the pages of a host.  The slots of all hosts are broadcast if they fit ``BROADCAST_BYTES``; otherwise pages are joined to them.
+the pages of a host.  The slots of all hosts are broadcast if they fit ``BROADCAST_BYTES``; otherwise only those of hosts with more
+than one in ``HOT`` of the pages are (there are fewer than ``HOT`` such hosts), and all other pages are joined to theirs.
 
 White space inside a block becomes one blank; blocks are joined by one blank in page order.  A null html counts as empty.  A page
-without url belongs to the host "".  Repeated rows come out as often as they came in.  Broken markup is read as far as it goes: open
+without url belongs to the host "".  Repeated rows come out as often as they came in; they count as pages of their host.  An empty
+table gives no rows; other columns than the three are not read.  Broken markup is read as far as it goes: open
 elements end with the page, an unfinished tag or comment is dropped.
 """
 
@@ -33,6 +37,10 @@ from . import common
 BROADCAST_BYTES = 16 << 20
 #: Hosts whose wrappers a task merges before it hands them on.
 HOSTS_AT_A_TIME = 5000
+#: A host with more than one page in so many is hot: its pages are dealt out evenly, not by host.
+HOT = 500
+#: Pages of a host that must agree on a text before it counts as the host's own.
+TELLING = 3
 #: Tasks that share the first step of merging the wrappers of a host.
 FAN = 64
 
@@ -248,12 +256,10 @@ def slots(wrapper: list) -> dict:
         found.append(("", False, False, wrapper))
     visit(wrapper, (), False, False)
     has_main = any(m and not o for _, m, o, _ in found)
-    pages = wrapper[4]
-    if has_main:
-        return {"main": True, "paths": sorted({p for p, m, o, _ in found if m and not o})}
-    # without an article element: no link texts, and nothing that is the same on each of several pages that differ elsewhere
-    differ = pages >= 3 and any(c[3] == "*" and not o for _, _, o, c in found)
-    return {"main": False, "paths": sorted({p for p, _, o, c in found if not o and 2 * c[6] <= c[5] and (not differ or c[3] == "*" or c[4] < 3)})}
+    mine = [(p, c) for p, m, o, c in found if not o and (m or not has_main)]
+    differ = any(c[3] == "*" and c[4] >= TELLING for _, c in mine)
+    own = {p for p, c in mine if not (differ and c[3] != "*" and c[4] >= TELLING) and (has_main or 2 * c[6] <= c[5])}
+    return {"main": has_main, "paths": sorted(own)}
 
 
 def text_of(page: str, host_slots: dict) -> str:
@@ -322,9 +328,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def pick(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(slots(json.loads(w))) for w in batch.column(1).to_pylist()], pa.string())], ["host", "slots"])
+            made = [json.loads(w) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(slots(w)) for w in made], pa.string()), pa.array([w[4] for w in made], pa.int64())], ["host", "slots", "n"])
 
-    known = common.written(wrappers(pages).mapInArrow(pick, "host string, slots string"), "wrappers")
+    known = common.written(wrappers(pages).mapInArrow(pick, "host string, slots string, n long"), "wrappers")
     rows = common.whole_text(pages, "page_id", "url", column="html")
     size = known.agg(F.sum(F.length("host") + F.length("slots"))).first()[0] or 0
     key = pages.schema["page_id"].dataType.simpleString()
@@ -355,14 +362,27 @@ def extracted(pages: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, schema)
 
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = pages.sparkSession.sparkContext.broadcast({r.host: r.slots for r in known.where(F.col("n") * HOT > total).collect()})
+
     def hosts(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())], [*batch.schema.names, "host"])
+            own = [host_of(u) for u in batch.column("url").to_pylist()]
+            # no host is called like this: the pages of a hot one go anywhere
+            at = [f"\0{i}" if h in hot.value else h for i, h in enumerate(own)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "host", "own"])
 
     def run_joined(batches):
         for batch in batches:
-            column, page = batch.column("slots").to_pylist(), batch.column("html").to_pylist()
-            yield texts(batch, lambda _, i: ready(column[i] or json.dumps(slots(expression(page[i])))))
+            column, page, own = (batch.column(c).to_pylist() for c in ("slots", "html", "own"))
+            made: dict[str, dict] = {}
+
+            def of(_, i):
+                if own[i] not in made:
+                    made[own[i]] = ready(column[i] or hot.value.get(own[i]) or json.dumps(slots(expression(page[i]))))
+                return made[own[i]]
+
+            yield texts(batch, of)
 
-    rows = rows.mapInArrow(hosts, f"page_id {key}, url string, html string, host string")
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "slots").mapInArrow(run_joined, schema)
+    rows = rows.mapInArrow(hosts, f"page_id {key}, url string, html string, host string, own string")
+    return rows.join(known.select("host", "slots"), "host", "left").select("page_id", "url", "html", "own", "slots").mapInArrow(run_joined, schema)
