@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, common, decontaminate, imatch, licenses, pieces, pii, quality, queries, simhash, tokenbin, wrappers
+from weftgraph.llm import blocks, chat, common, decontaminate, imatch, licenses, pieces, pii, quality, queries, simhash, tokenbin, wrappers
 
 from ..conftest import SF, same
 
@@ -188,6 +188,52 @@ def test_similar_verifies_equal_fingerprints(spark):
     assert sorted(r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, DOC)).collect()) == [1, 2, 3]
 
 
+def test_sketches_rule_out_nothing_alike():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 40, 700, 9000, 70_000):
+        x = rng.integers(0, 2**63, n, np.uint64)
+        for changed in (0.0, 0.05, 0.1, 0.2, 0.5, 1.0):
+            k = int(n * changed)
+            y = np.unique(np.concatenate((x[k:], rng.integers(0, 2**63, int(k * rng.random()), np.uint64))))
+            xs = np.unique(x)
+            same_share = len(np.intersect1d(xs, y)), len(np.union1d(xs, y))
+            if same_share[0] >= 0.8 * same_share[1]:
+                assert simhash.may_be_alike(simhash.sketch(xs), simhash.sketch(y), 0.8)
+            elif changed == 1.0 and n >= 40:
+                assert not simhash.may_be_alike(simhash.sketch(xs), simhash.sketch(y), 0.8)
+
+
+def test_two_texts_of_one_id(spark):
+    words = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(3, words("a")), (3, words("b")), (3, words("a")), (5, words("b")), (6, words("c")), (6, None), (7, ""), (None, words("a"))]
+    df = spark.createDataFrame(rows, DOC)
+    got = sorted(((r.doc_id or -1), r.text or "") for r in simhash.deduplicated(df).collect())
+    assert got == sorted([(3, words("a")), (3, words("b")), (6, words("c")), (6, ""), (-1, words("a"))])
+    named = df.where("doc_id is not null")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.similar(named).collect()) == [(3, 3), (3, 3), (3, 3), (5, 3), (6, 6), (6, 6), (7, 6)]
+
+
+def test_one_set_of_several_fingerprints(spark):
+    loop = [f"w{i}" for i in range(40)]
+    once, more = " ".join(loop + loop[:4]), " ".join(loop + loop[:20] + loop[20:] + loop[:4])
+    assert simhash.shingles(once, 5) == simhash.shingles(more, 5)
+    uneven = " ".join(loop + loop[:4] + ["x"] + (loop[:8] + ["x"]) * 6)
+    even = " ".join(loop + loop[:4] + ["x"] + loop[:8] + ["x"] + loop[:4])
+    assert simhash.fingerprint(uneven.encode(), 5) != simhash.fingerprint(even.encode(), 5)
+    rows = [(1, once), (2, more), (3, uneven), (4, even), (4, even)]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.similar(spark.createDataFrame(rows, DOC)).collect())
+    assert len(got) == 5 and got[:2] == [(1, 1), (2, 1)]
+
+
+def test_simhash_hot_fingerprints(spark, monkeypatch):
+    rows = [(i, "one and the same text of many copies" if i % 3 else f"text {i} is by itself, number {i * 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, DOC)
+    want = sorted(map(tuple, simhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(common, "HOT", 4)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == want and len(want) == 60
+    assert simhash.similar(df).count() == 60
+
+
 def test_simhash_empty_and_clashing(spark, odd, clashing):
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
     assert simhash.deduplicated(clashing).collect() == clashing.collect()
@@ -313,6 +359,19 @@ def test_token_files_empty(spark, odd, tmp_path):
     assert tokenbin.read(spark, str(tmp_path / "e")).collect() == []
 
 
+def test_token_files_in_ranges_by_bytes(spark, clashing, monkeypatch, tmp_path):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    d = spark.createDataFrame([(i * 3 % 50, f"text {i} of some") for i in range(50)], DOC)
+    tokenbin.write(d, str(tmp_path / "a"), path)
+    want = sorted(map(tuple, tokenbin.read(spark, str(tmp_path / "a")).collect()))
+    monkeypatch.setattr(blocks, "RANGE_BYTES", 40)
+    tokenbin.write(d, str(tmp_path / "b"), path)
+    assert sorted(map(tuple, tokenbin.read(spark, str(tmp_path / "b")).collect())) == want and len(want) == 50
+    tokenbin.write(clashing, str(tmp_path / "c"), path)
+    assert [r.doc_id for r in tokenbin.read(spark, str(tmp_path / "c")).collect()] == [1]
+    assert imatch.edited_report(d).count() == 50 and imatch.edited_report(clashing).count() == 1
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------------
 
 
@@ -424,6 +483,30 @@ def test_quality_odd(spark, odd, docs):
     assert quality.accepted(odd, y.limit(0)).count() == len(ODD)
 
 
+def plain_score(m: quality.Model, text: str) -> float:
+    """The score by the text's averages, one bucket at a time."""
+    ids, shares = quality.averaged((text or "").encode())
+    return 1 / (1 + np.exp(-(m.bias + sum(float(m.weight[i]) * float(s) for i, s in zip(ids, shares)))))
+
+
+def test_quality_scores_are_the_models(spark, docs, odd):
+    y = queries.table(spark, SF, "labels")
+    m = quality.fit(docs, y)
+    for df in (docs, odd):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        for r in quality.scored(df.dropDuplicates(["doc_id"]), m).collect():
+            assert abs(r.score - plain_score(m, texts[r.doc_id])) < 1e-5
+
+
+def test_quality_learns_an_id_once(spark, docs, clashing):
+    y = queries.table(spark, SF, "labels")
+    d, y = docs.select("doc_id", "text"), y.select("doc_id", "quality")
+    m = quality.fit(d, y)
+    again = quality.fit(d.unionByName(d).unionByName(d.limit(20)), y.unionByName(y))
+    assert (m.weight == again.weight).all() and m.bias == again.bias
+    assert quality.report(clashing, y).columns == ["doc_id", "held_out", "score", "predicted"] and quality.accepted(clashing, y.limit(0)).collect() == clashing.collect()
+
+
 # --- 8, 9: SQL ------------------------------------------------------------------------------------------------------
 
 
@@ -527,3 +610,40 @@ def test_imatch_edits(spark, docs, odd):
     got = imatch.edited_report(docs).collect()
     assert sum(r.near_edited for r in got) > 5 * sum(r.near_next for r in got)
     assert imatch.edited_report(odd.limit(0)).collect() == []
+
+
+def test_imatch_fingerprints_by_hand(spark, docs):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    terms = {i: {x for x in re.findall(rb"[a-z0-9\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in t))} for i, t in rows}
+    count: dict[bytes, int] = {}
+    for ts in terms.values():
+        for t in ts:
+            count[t] = count.get(t, 0) + 1
+    n = len(rows)
+    band = {t: xxhash.xxh64_intdigest(t) for t, c in count.items() if max(2, imatch.LEAST * n) <= c <= imatch.MOST * n}
+    least, size = imatch.lexicon(docs)
+    assert size == n and sorted(band.values()) == least.tolist()
+
+    def mixed(h, salt):
+        m = 2**64 - 1
+        x = (h ^ salt * 0x9E3779B97F4A7C15 & m) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 29) * 0x94D049BB133111EB & m
+        return x ^ x >> 32
+
+    def by_hand(text, own):
+        out = []
+        for level, (one_of, many) in enumerate(imatch.LEVELS):
+            for k in range(many):
+                held = sorted(band[t] for t in own if t in band and mixed(band[t], level + 1) % one_of == k)
+                out.append(max(1, xxhash.xxh32_intdigest(np.array(held, np.uint64).tobytes())) if held else 0)
+        if not any(out):
+            out = [max(1, xxhash.xxh32_intdigest(b"\0".join(sorted(own)) if own else text, 1 if own else 2))] * len(out)
+        return out
+
+    want = {i: by_hand(t, terms[i]) for i, t in rows}
+    got = {r.doc_id: r for r in imatch.edited_report(docs).collect()}
+    assert {i: r.fingerprint for i, r in got.items()} == {i: "".join(f"{x:08x}" for x in f) for i, f in want.items()}
+    ids = sorted(want)
+    for i, j in zip(ids, ids[1:] + ids[:1]):
+        used = [(a, b) for a, b in zip(want[i], want[j]) if a or b]
+        assert abs(got[i].near_next - sum(a == b for a, b in used) / len(used)) < 1e-12

@@ -2,7 +2,8 @@
 
 Texts dominate what such a shuffle writes, and row-wise shuffles compress them badly.  Here every task packs the rows that go
 to the same key range into Arrow blocks with zstandard, so that about half the bytes are written.  Ranges are quantiles of the
-key, as many as shuffle partitions; each range is put in order by the task that receives it, one range at a time in memory.
+key, as many as keep a range to ``RANGE_BYTES`` of text on average (shuffle partitions at least, ``MOST_RANGES`` at most); each is
+put in order by the task that receives it, one range at a time in memory.  Rows that share a key lie in one range.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from . import common
 
 #: Bytes that a task gathers before it packs them.
 PACK_BYTES = 16 << 20
+#: Text bytes of a range, on average.
+RANGE_BYTES = 64 << 20
+MOST_RANGES = 100_000
 NULL_KEY = -(2**63)
 
 
@@ -52,7 +56,7 @@ def bounds(rows: DataFrame, key: str, parts: int) -> tuple[int | None, list[int]
     """The least key (null as NULL_KEY) and the first keys of the further ranges, all of them keys that occur."""
     k = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))
     shares = [i / parts for i in range(1, parts)]
-    r = rows.agg(F.min(k).alias("least"), F.percentile_approx(k, shares or [0.5], 10000).alias("q")).first()
+    r = rows.agg(F.min(k).alias("least"), F.percentile_approx(k, shares or [0.5], max(10_000, 10 * parts)).alias("q")).first()
     if r.least is None:
         return None, []
     return r.least, [x for x in sorted(set(r.q if shares else [])) if x > r.least]
@@ -66,7 +70,8 @@ def in_ranges(
     rows: the key (a long) and ``text``, no null texts.  With ``with_next`` the first row of the following range comes along, of the
     first range after the last one.
     """
-    parts = common.n_parts(rows.sparkSession)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(common.n_parts(rows.sparkSession), min(MOST_RANGES, -(-size // RANGE_BYTES)))
     least, firsts = bounds(rows, key, parts)
     edges = np.array(firsts, np.int64)
     lead = np.array(([] if least is None else [least]) + firsts, np.int64)

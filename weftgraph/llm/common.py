@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, removed, shared_dir, written
 
-__all__ = ["chunks", "components", "n_parts", "new_path", "removed", "shared_dir", "small_batches", "texts", "whole_text", "written"]
+__all__ = ["chunks", "components", "joined", "n_parts", "new_name", "new_path", "removed", "shared_dir", "small_batches", "texts", "whole_text", "written"]
+
+def new_name(df: DataFrame, like: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{like}_{i}" for i in range(len(taken) + 1)) if n not in taken)
+
 
 #: Bytes of text that a Python worker expands at a time.
 CHUNK_BYTES = 4 << 20
@@ -56,6 +62,20 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+#: A key with more than one row in so many is hot; there are fewer than so many such keys.
+HOT = 1000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of table, which has every key once and in ``count`` how many of the ``total`` rows have it.
+
+    Hot keys, fewer than ``HOT``, go to every task, so that their rows are not gathered in one; the others are joined as usual.
+    """
+    hot = F.broadcast(table.where(F.col(count) * HOT > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) * HOT <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b): rows (node, label), label being the least node; only nodes with a link.
 

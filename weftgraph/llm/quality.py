@@ -9,7 +9,8 @@ Scoring is one pass without a shuffle.  Averages and the softmax's product commu
 each bucket: as much as the buckets, whatever the corpus.
 
 Only texts are inputs.  Null counts as empty; an empty text gets the score of the bias alone.  Repeated rows come out as often
-as they came in.  Without labels of both classes there is no model: every score is the share of label 1, or 0.5.
+as they came in; for learning, an id counts once: with the least text by hash if it has several, and as label 0 if its labels differ.
+A null doc_id is never learnt from nor held out.  An empty table gives no rows.  Other columns are not read.  Without labels of both classes there is no model: every score is the share of label 1, or 0.5.
 """
 
 from __future__ import annotations
@@ -152,12 +153,13 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learns labels.quality from at most ``per_class`` documents of each class that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("y")).where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     some = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
-    # the sample is bounded by 2 * per_class ids
-    rows = common.whole_text(docs, "doc_id").join(F.broadcast(some), "doc_id")
+    # the sample is bounded by 2 * per_class ids, of which each has one text; map-side, so that repeats of an id never meet
+    rows = common.whole_text(docs, "doc_id").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "y", "x.text")
 
     def prepare(batches):
         for batch in batches:

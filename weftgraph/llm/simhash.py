@@ -340,7 +340,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select(F.col("node").alias("fp"), "component_id")
     known = reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n_same")
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+    total = reps.agg(F.sum("n_same")).first()[0] or 0
+    return common.joined(fps, known, "fp", "n_same", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
 def shingles(text: str, words: int) -> set[int]:
@@ -378,6 +379,36 @@ def alike(fp: np.ndarray, label: np.ndarray, sets: list[set[int]], similarity: f
     return out
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the distinct hashes lie in each of 2^k bins, about eight a bin: an exact upper bound of overlaps, see may_be_alike()."""
+    bins = 1 << min(12, max(0, (len(hashes) >> 3).bit_length()))
+    return np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype("<u4" if len(hashes) > 65535 else "<u2").tobytes() + bytes([4 if len(hashes) > 65535 else 2])
+
+
+def _bins(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[:-1], f"<u{data[-1]}").astype(np.int64)
+
+
+def may_be_alike(x: bytes, y: bytes, similarity: float) -> bool:
+    """False only if the two sets can't have the similarity: they share at most the lesser number of every bin."""
+    a, b = sorted((_bins(x), _bins(y)), key=len)
+    b = b.reshape(-1, len(a)).sum(0)  # bins are the lowest bits: fewer of them are sums of others
+    both, n = int(np.minimum(a, b).sum()), int(a.sum() + b.sum())
+    return both >= similarity * (n - both)
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b) of nodes that sketches(node, sketch) do not rule out; so the texts of few others are ever shipped."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [may_be_alike(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs(a, b) of nodes of at least the similarity, by texts(node, text)."""
 
@@ -443,49 +474,48 @@ def _group_links(members: DataFrame, texts: DataFrame, words: int, similarity: f
 
 
 def _folded(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, fp, node): node is a 64-bit hash of the sorted distinct shingles, the same for equal sets only."""
+    """(doc_id, text_hash, fp, node, sketch): node is a 64-bit hash of the sorted distinct shingles, the same for equal sets only."""
 
     def run(batches):
         for batch in batches:
-            fp, node = [], []
+            fp, node, bins = [], [], []
             for text in common.texts(batch):
                 seen: list[np.ndarray] = []
                 fp.append(fingerprint(text, words, seen=seen))
-                node.append(xxhash.xxh3_64_intdigest(np.unique(np.concatenate(seen)).tobytes() if seen else b""))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node))], ["doc_id", "text_hash", "fp", "node"])
+                distinct = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+                node.append(xxhash.xxh3_64_intdigest(distinct.tobytes()))
+                bins.append(sketch(distinct))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node)), pa.array(bins, pa.binary())], ["doc_id", "text_hash", "fp", "node", "sketch"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = common.whole_text(docs, "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {key}, text_hash long, fp long, node long")
+    return rows.mapInArrow(run, f"doc_id {key}, text_hash long, fp long, node long, sketch binary")
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
-    """(doc_id, component_id): classes of documents joined by pairs of at least the Jaccard similarity of their word shingles.
-
-    Documents of equal shingle sets are one.  Candidates are fingerprints within ``max_bits``, equal ones among them.  Listed
-    candidates are verified pair by pair on the whole texts.  Dense buckets, and fingerprints of several sets with what is
-    near them, only tell which fingerprints make a group; inside a group the forest is built over verified pairs, so that no
-    pair is lost behind one that fails.  The wide radius finds nearly all pairs from 0.9 and most from 0.8; verification
-    keeps others apart.
-    """
+def _classes(docs: DataFrame, words: int, similarity: float, max_bits: int) -> DataFrame:
+    """(doc_id, text_hash, first): for every row of docs the first of its class, a struct (void, doc_id, text_hash)."""
     fps = common.written(_folded(docs, words), "fingerprints")
     first = F.min(F.struct(F.isnull("doc_id").alias("void"), "doc_id", "text_hash")).alias("first")
-    sets = common.written(fps.groupBy("fp", "node").agg(first), "fingerprints")
+    sets = fps.groupBy("fp", "node").agg(first, F.count("*").alias("n_rows"), F.any_value("sketch").alias("sketch"))
+    sets = common.written(sets, "fingerprints")
     each = common.written(sets.groupBy("fp").agg(F.count("*").alias("many")), "fingerprints")
     pairs = common.written(links(each, max_bits, marked=True), "candidates")
     several = each.where("many > 1").select("fp")
     dense = functools.reduce(DataFrame.unionByName, (pairs.join(several.withColumnRenamed("fp", x), x, "left_semi").select("a", "b") for x in "ab"), pairs.where("dense = 1").select("a", "b"))
     groups = common.components(dense).select(F.col("node").alias("fp"), F.col("label").alias("grp"))
     groups = groups.unionByName(several.join(groups, "fp", "left_anti").select("fp", F.col("fp").alias("grp")))
-    sets = common.written(sets.join(groups, "fp", "left"), "groups")
-    at = lambda x: sets.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("grp").alias(f"{x}_grp"))
+    grouped = common.written(sets.drop("sketch").join(groups, "fp", "left"), "groups")
+    at = lambda x: grouped.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("grp").alias(f"{x}_grp"))
     apart = F.coalesce(F.col("a_grp") != F.col("b_grp"), F.lit(True)) & (F.col("a_node") != F.col("b_node"))
     listed = pairs.where("dense = 0").select("a", "b").join(at("a"), "a").join(at("b"), "b").where(apart).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    members = sets.where("grp is not null").select("grp", "fp", "node")
-    listed = common.written(listed.unionByName(_pivots(members, max_bits)), "candidates")
-    nodes = sets.groupBy("node").agg(F.min("first").alias("first")).select("node", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"))
+    members = grouped.where("grp is not null").select("grp", "fp", "node")
+    # texts of one set may differ in repeats, and so in their fingerprints
+    sketches = sets.groupBy("node").agg(F.any_value("sketch").alias("sketch"))
+    listed = common.written(_plausible(listed.unionByName(_pivots(members, max_bits)).distinct(), sketches, similarity), "candidates")
+    nodes = grouped.groupBy("node").agg(F.min("first").alias("first"), F.sum("n_rows").alias("n_rows"))
     named = listed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct().join(nodes, "node")
-    named = named.select(F.col("least").alias("doc_id"), "text_hash", "node")
+    named = named.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "node")
     texts = common.whole_text(docs, "doc_id").withColumn("text_hash", F.xxhash64("text")).join(named, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
     good = common.written(_verified(listed, texts, words, similarity), "verified")
     label = common.components(good)
@@ -493,18 +523,40 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits:
     more = common.written(_group_links(members, texts, words, similarity, max_bits), "verified")
     if not more.isEmpty():
         label = common.components(good.unionByName(more))
-    by = label.join(nodes.select("node", "least"), "node")
-    least = by.groupBy("label").agg(F.min("least").alias("component_id"))
-    by = by.join(least, "label").select("node", "component_id")
-    known = nodes.select("node", "least").join(by, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(known, "node").select("doc_id", "component_id")
+    by = label.join(nodes.select("node", "first"), "node")
+    least = by.groupBy("label").agg(F.min("first").alias("least"))
+    by = by.join(least, "label").select("node", "least")
+    known = common.written(nodes.join(by, "node", "left").select("node", F.coalesce("least", "first").alias("first"), "n_rows"), "classes")
+    total = known.agg(F.sum("n_rows")).first()[0] or 0
+    out = common.joined(fps.select("doc_id", "text_hash", "node"), known, "node", "n_rows", total).select("doc_id", "text_hash", "first")
+    out = common.written(out, "classes")
+    common.removed(fps, sets, each, pairs, grouped, listed, good, more, known)
+    return out
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
+    """(doc_id, component_id): classes of documents joined by pairs of at least the Jaccard similarity of their word shingles.
+
+    Documents of equal shingle sets are one.  Candidates are fingerprints within ``max_bits``, equal ones among them.  Listed
+    candidates that their sketches do not rule out are verified pair by pair on the whole texts.  Dense buckets, and fingerprints of several sets with what is
+    near them, only tell which fingerprints make a group; inside a group the forest is built over verified pairs, so that no
+    pair is lost behind one that fails.  The wide radius finds nearly all pairs from 0.9 and most from 0.8; verification
+    keeps others apart.
+
+    Null and empty texts have no shingles and make one class.  A null doc_id names a class only if all its ids are null.  Rows that
+    repeat come out as often as they came in; texts that share a doc_id are told apart.  Columns other than doc_id and text are not read.
+    """
+    return _classes(docs, words, similarity, max_bits).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
-    """docs with one document of each class of similar(): that of the least doc_id (one row of it, if it repeats).
+    """docs with one document of each class of similar(): the least by (doc_id, hash of the text); of rows that repeat both, one.
 
-    A row without a doc_id can't be named as the one that stays; it is kept as it is.
+    Different texts of one doc_id both stay unless they are near duplicates.  A row without a doc_id can't be named as the one that
+    stays; it is kept as it is.
     """
     named = docs.where("doc_id is not null")
-    keep = similar(named, words, similarity, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    own, name = F.xxhash64(F.coalesce("text", F.lit(""))), common.new_name(docs, "own")
+    keep = _classes(named, words, similarity, max_bits).where("doc_id = first.doc_id and text_hash = first.text_hash").select("doc_id", F.col("text_hash").alias(name)).distinct()
+    rows = named.withColumn(name, own).join(keep, ["doc_id", name], "left_semi")
+    return rows.dropDuplicates(["doc_id", name]).select(docs.columns).unionByName(docs.where("doc_id is null"))
