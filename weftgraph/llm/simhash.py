@@ -515,8 +515,10 @@ def _classes(docs: DataFrame, words: int, similarity: float, max_bits: int) -> D
     listed = common.written(_plausible(listed.unionByName(_pivots(members, max_bits)).distinct(), sketches, similarity), "candidates")
     nodes = grouped.groupBy("node").agg(F.min("first").alias("first"), F.sum("n_rows").alias("n_rows"))
     named = listed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct().join(nodes, "node")
-    named = named.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "node")
-    texts = common.whole_text(docs, "doc_id").withColumn("text_hash", F.xxhash64("text")).join(named, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
+    # written, so that Spark knows its size: few are broadcast, and only the texts that are needed are shuffled, once
+    named = common.written(named.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "node"), "named")
+    texts = common.whole_text(docs, "doc_id").withColumn("text_hash", F.xxhash64("text")).join(named, ["doc_id", "text_hash"])
+    texts = common.written(texts.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
     good = common.written(_verified(listed, texts, words, similarity), "verified")
     label = common.components(good)
     members = members.join(label, "node", "left").select("grp", "fp", "node", F.coalesce("label", "node").alias("label"))
@@ -530,7 +532,7 @@ def _classes(docs: DataFrame, words: int, similarity: float, max_bits: int) -> D
     total = known.agg(F.sum("n_rows")).first()[0] or 0
     out = common.joined(fps.select("doc_id", "text_hash", "node"), known, "node", "n_rows", total).select("doc_id", "text_hash", "first")
     out = common.written(out, "classes")
-    common.removed(fps, sets, each, pairs, grouped, listed, good, more, known)
+    common.removed(fps, sets, each, pairs, grouped, listed, named, texts, good, more, known)
     return out
 
 
