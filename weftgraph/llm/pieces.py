@@ -342,4 +342,4 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     yield from finish(got, data.as_py())
 
     schema = f"doc_id {key.simpleString()}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean, n_words long, n_library long" + ", ids array<int>" * with_ids
-    return back.select("block", "part", "data", "kind").unionByName(texts).repartition(max(common.n_parts(spark), partitions // 4), "block").sortWithinPartitions("block", "kind").mapInArrow(joined, schema)
+    return back.select("block", "part", "data", "kind").unionByName(texts).repartition(max(common.n_parts(spark), partitions // 8), "block").sortWithinPartitions("block", "kind").mapInArrow(joined, schema)
