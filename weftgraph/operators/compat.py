@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 REPORT_ORDER = ("breaking", "potentially_breaking", "incomparable", "unknown", "compatible")
 MERGE_ORDER = ("breaking", "potentially_breaking", "unknown", "incomparable", "compatible")
 #: Widths of database types that can be compared.
-INTEGER_RANK = {"smallint": 1, "int": 2, "integer": 2, "bigint": 3, "hugeint": 4}
+INTEGER_RANK = {"tinyint": 0, "smallint": 1, "int": 2, "integer": 2, "bigint": 3}
 
 
 def rank(status: Column, order: Sequence[str] = REPORT_ORDER) -> Column:
@@ -71,9 +71,11 @@ def http(before: DataFrame, after: DataFrame) -> DataFrame:
     one = lambda df: df.groupBy(*keys).agg(F.bool_or("incomplete").alias("incomplete"), F.count("*").alias("n"))
     pairs = both_sides(one(before), one(after), keys)
     gone, new = pairs.where(_gone()).select(*keys), pairs.where(_new()).select("role", F.col("method").alias("m2"), F.col("path").alias("p2"))
-    near = gone.join(new, (gone.role == new.role) & (((F.col("method") == F.col("m2")) & (F.col("path") != F.col("p2"))) | ((F.col("method") != F.col("m2")) & (F.col("path") == F.col("p2")))))
-    partner = near.groupBy(gone.role, "method", "path").agg(F.count("*").alias("partners"))
-    pairs = pairs.join(partner, keys, "left")
+    # a new one that shares the method with a removed one has another path, and the reverse: counts by either tell the partners
+    by_method = new.groupBy("role", F.col("m2").alias("method")).agg(F.count("*").alias("n1"))
+    by_path = new.groupBy("role", F.col("p2").alias("path")).agg(F.count("*").alias("n2"))
+    partner = gone.join(by_method, ["role", "method"], "left").join(by_path, ["role", "path"], "left").na.fill(0, ["n1", "n2"])
+    pairs = pairs.join(partner.select(*keys, (F.col("n1") + F.col("n2")).alias("partners")), keys, "left")
     where = F.concat_ws(" ", "method", "path")
     rules = [
         ("http.operation_changed", "potentially_breaking", _gone() & (F.col("partners") == 1)), ("http.operation_removed", "breaking", _gone() & (F.coalesce("partners", F.lit(0)) != 1)),
@@ -83,59 +85,94 @@ def http(before: DataFrame, after: DataFrame) -> DataFrame:
     return deduplicated(findings(pairs, where, rules), always)
 
 
+def _once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for each key, the greatest of several, with how many there are."""
+    rest = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.max(F.struct(*rest) if rest else F.lit(1)).alias("x"), F.count("*").alias("n"))
+    return g.select(*keys, *(F.col(f"x.{c}").alias(c) for c in rest), "n")
+
+
+def _several() -> Column:
+    return (F.coalesce("b.n", F.lit(0)) > 1) | (F.coalesce("a.n", F.lit(0)) > 1)
+
+
 def packages(before: DataFrame, after: DataFrame, dependencies: tuple[DataFrame, DataFrame], values: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """Packages (ecosystem, name, version), their dependencies (package, name, scope, range) and values (package, kind, value)
-    of kinds export, feature and workspace."""
-    p = both_sides(before, after, ["ecosystem", "name"])
+    """Packages (ecosystem, name, version, source_path), their dependencies (package, name, scope, range, optional, condition) and
+    values (package, kind, value) of kinds export, feature and workspace.
+
+    A package that is gone was renamed if its file has exactly one new coordinate of the ecosystem; of several that are gone the
+    first by name was.  Dependencies are the same by package and name: another scope, range, option or condition is drift.
+    """
+    p = both_sides(*(_once(x, ["ecosystem", "name"]) for x in (before, after)), ["ecosystem", "name"])
+    file = ["ecosystem", "source_path"]
+    one_new = p.where(_new()).groupBy("ecosystem", F.col("a.source_path").alias("source_path")).agg(F.min("name").alias("to"), F.count("*").alias("c")).where("c = 1")
+    renamed = p.where(_gone()).groupBy("ecosystem", F.col("b.source_path").alias("source_path")).agg(F.min("name").alias("from")).join(one_new, file)
+    p = p.join(renamed.select("ecosystem", F.col("from").alias("name"), F.lit(True).alias("was_renamed")), ["ecosystem", "name"], "left").join(renamed.select("ecosystem", F.col("to").alias("name"), F.lit(True).alias("is_rename")), ["ecosystem", "name"], "left")
+    was, is_ = F.coalesce("was_renamed", F.lit(False)), F.coalesce("is_rename", F.lit(False))
     major = lambda c: F.regexp_extract(c, r"^[^0-9]*([0-9]+)", 1)
     bv, av = F.col("b.version"), F.col("a.version")
     differ = _both() & ~bv.eqNullSafe(av)
     main = findings(p, F.concat_ws(":", "ecosystem", "name"), [
-        ("package.coordinate_removed", "breaking", _gone()), ("package.coordinate_added", "compatible", _new()), ("package.declared_version_changed", "unknown", differ & (bv.isNull() | av.isNull())),
-        ("package.declared_version_changed", "breaking", differ & (major(bv) != major(av))), ("package.declared_version_changed", "potentially_breaking", differ & (major(bv) == major(av)))])
-    d = both_sides(*dependencies, ["package", "name", "scope"])
-    weak = F.col("scope").isin("dev", "test")
-    deps = findings(d, F.concat_ws("/", "package", "scope", "name"), [
-        ("package.dependency_removed", "unknown", _gone() & weak), ("package.dependency_removed", "potentially_breaking", _gone() & ~weak),
-        ("package.dependency_drift", "unknown", _both() & weak & ~F.col("b.range").eqNullSafe(F.col("a.range"))), ("package.dependency_drift", "potentially_breaking", _both() & ~weak & ~F.col("b.range").eqNullSafe(F.col("a.range"))),
-        ("package.dependency_added", "potentially_breaking", _new() & (F.col("scope") == "peer")), ("package.dependency_added", "unknown", _new() & (F.col("scope") != "peer"))])
-    v = both_sides(*(x.withColumn("one", F.lit(1)) for x in values), ["package", "kind", "value"])
+        ("package.coordinate_renamed", "breaking", _gone() & was), ("package.coordinate_removed", "breaking", _gone() & ~was), ("package.coordinate_added", "compatible", _new() & ~is_), ("package.coordinate_duplicate", "incomparable", _several()),
+        ("package.declared_version_changed", "unknown", differ & (bv.isNull() | av.isNull())), ("package.declared_version_changed", "breaking", differ & (major(bv) != major(av))),
+        ("package.declared_version_changed", "potentially_breaking", differ & (major(bv) == major(av)))])
+    d = both_sides(*(_once(x, ["package", "name"]) for x in dependencies), ["package", "name"])
+    weak = F.col("b.scope").isin("dev", "test")
+    drift = _both() & ~reduce(lambda x, y: x & y, (F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in dependencies[0].columns if c not in ("package", "name")))
+    vague = F.col("b.range").isNull() | F.col("a.range").isNull()
+    deps = findings(d, F.concat_ws("/", "package", "name"), [
+        ("package.dependency_removed", "unknown", _gone() & weak), ("package.dependency_removed", "potentially_breaking", _gone() & ~weak), ("package.dependency_duplicate", "incomparable", _several()),
+        ("package.dependency_drift", "unknown", drift & (vague | weak)), ("package.dependency_drift", "potentially_breaking", drift & ~vague & ~weak),
+        ("package.dependency_added", "potentially_breaking", _new() & (F.col("a.scope") == "peer")), ("package.dependency_added", "unknown", _new() & (F.col("a.scope") != "peer"))])
+    v = both_sides(*(x.distinct().withColumn("one", F.lit(1)) for x in values), ["package", "kind", "value"])
     vals = findings(v, F.concat_ws("/", "package", "kind", "value"), [
         ("package.export_removed", "breaking", _gone() & (F.col("kind") == "export")), ("package.feature_removed", "potentially_breaking", _gone() & (F.col("kind") == "feature")),
-        ("package.workspace_changed", "unknown", (_gone() | _new()) & (F.col("kind") == "workspace"))])
-    always = before.sparkSession.createDataFrame([("types", "package.type_declarations_unmodeled", "unknown")], "path string, code string, status string")
-    return deduplicated(main, deps, vals, always)
+        ("package.workspace_removed", "unknown", _gone() & (F.col("kind") == "workspace"))])
+    cycles = v.where((_gone() | _new()) & (F.col("kind") == "workspace")).select(F.lit("package.workspace").alias("path"), F.lit("package.workspace_cycle_unmodeled").alias("code"), F.lit("unknown").alias("status")).distinct()
+    always = before.sparkSession.createDataFrame([("package.types", "package.type_declarations_unmodeled", "unknown")], "path string, code string, status string")
+    return deduplicated(main, deps, vals, cycles, always)
 
 
 def narrowed(before: Column, after: Column) -> Column:
-    """Whether a database type became narrower; null where the types can't be compared."""
-    rank_of = lambda c: F.create_map(*(F.lit(x) for kv in INTEGER_RANK.items() for x in kv))[F.lower(F.regexp_extract(c, r"^[A-Za-z]+", 0))]
-    kind = lambda c: F.regexp_extract(F.lower(c), r"^(?:var)?(?:char|binary)", 0)
-    width = lambda c: F.regexp_extract(c, r"\(([0-9]+)\)", 1).cast("int")
-    ints = F.when(rank_of(before).isNotNull() & rank_of(after).isNotNull(), rank_of(after) < rank_of(before))
-    chars = F.when((kind(before) != "") & (kind(before) == kind(after)), width(after) < width(before))
-    return F.coalesce(ints, chars)
-
-
-def database(before: DataFrame, after: DataFrame, extras: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Columns (table, column, type, nullable, has_default, primary_key) and extras (table, kind, name) of kinds unique, index and
-    foreign_key."""
+    """Whether a database type became narrower: a lesser whole-number type, or fewer characters of the same type."""
+    plain = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit(""))
+    rank_of = lambda c: F.create_map(*(F.lit(x) for kv in INTEGER_RANK.items() for x in kv))[plain(c)]
+    part = lambda c, i: F.regexp_extract(plain(c), r"^(char|varchar|binary|varbinary)\(([0-9]+)\)$", i)
+    ints = rank_of(after) < rank_of(before)
+    chars = F.when((part(before, 1) != "") & (part(before, 1) == part(after, 1)), part(after, 2).cast("decimal(38,0)") < part(before, 2).cast("decimal(38,0)"))
+    return F.coalesce(ints, chars, F.lit(False))
+
+
+def database(before: DataFrame, after: DataFrame, extras: tuple[DataFrame, DataFrame] | None = None, documents: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Columns (table, column, type, nullable, has_default, primary_key, unique), extras (table, kind, name) of kinds index and
+    foreign_key, and documents (document, incomplete, revision, down_revision), one for each file that declares a migration.
+
+    Types and nullability that are null on one side are unknown.  Tables and columns that are new are no findings.
+    """
     tables = both_sides(*(df.select("table").distinct().withColumn("one", F.lit(1)) for df in (before, after)), ["table"])
-    t = findings(tables, F.col("table"), [("database.table_removed", "breaking", _gone()), ("database.table_added", "compatible", _new())])
-    kept = before.join(tables.where(_both()).select("table"), "table", "left_semi"), after.join(tables.where(_both()).select("table"), "table", "left_semi")
-    c = both_sides(*kept, ["table", "column"])
-    changed = _both() & (F.lower("b.type") != F.lower("a.type"))
+    t = findings(tables, F.col("table"), [("database.table_removed", "breaking", _gone())])
+    both = tables.where(_both()).select("table")
+    c = both_sides(*(_once(x.join(both, "table", "left_semi"), ["table", "column"]) for x in (before, after)), ["table", "column"])
+    differ = lambda x: _both() & ~F.col(f"b.{x}").eqNullSafe(F.col(f"a.{x}"))
+    known = lambda x: F.col(f"b.{x}").isNotNull() & F.col(f"a.{x}").isNotNull()
     narrow = narrowed(F.col("b.type"), F.col("a.type"))
-    strict = _both() & F.col("b.nullable") & ~F.col("a.nullable")
+    strict = F.col("b.nullable") & ~F.col("a.nullable")
     cols = findings(c, F.concat_ws(".", "table", "column"), [
-        ("database.column_removed", "breaking", _gone()), ("database.column_added", "compatible", _new()), ("database.column_type_changed", "breaking", changed & F.coalesce(narrow, F.lit(False))),
-        ("database.column_type_changed", "potentially_breaking", changed & ~F.coalesce(narrow, F.lit(False))), ("database.nullability_changed", "potentially_breaking", strict & F.col("a.has_default")),
-        ("database.nullability_changed", "breaking", strict & ~F.col("a.has_default")), ("database.nullability_relaxed", "compatible", _both() & ~F.col("b.nullable") & F.col("a.nullable")),
-        ("database.primary_key_removed", "breaking", _both() & F.col("b.primary_key") & ~F.col("a.primary_key"))])
-    parts = [t, cols, before.sparkSession.createDataFrame([("consumers", "database.shared_consumer_impact_unmodeled", "unknown")], "path string, code string, status string")]
+        ("database.column_removed", "breaking", _gone()), ("database.column_duplicate", "incomparable", _several()), ("database.column_type_changed", "unknown", differ("type") & ~known("type")),
+        ("database.column_type_changed", "breaking", differ("type") & known("type") & narrow), ("database.column_type_changed", "potentially_breaking", differ("type") & known("type") & ~narrow),
+        ("database.column_nullability_changed", "unknown", differ("nullable") & ~known("nullable")), ("database.column_nullability_changed", "potentially_breaking", differ("nullable") & strict & F.col("a.has_default")),
+        ("database.column_nullability_changed", "breaking", differ("nullable") & strict & ~F.col("a.has_default")), ("database.column_nullability_changed", "compatible", differ("nullable") & known("nullable") & ~strict),
+        ("database.primary_key_removed", "breaking", _both() & F.col("b.primary_key") & ~F.col("a.primary_key")), ("database.unique_constraint_removed", "potentially_breaking", _both() & F.col("b.unique") & ~F.col("a.unique"))])
+    parts = [t, cols, before.sparkSession.createDataFrame([("database.consumers", "database.shared_consumer_impact_unmodeled", "unknown")], "path string, code string, status string")]
     if extras:
-        x = both_sides(*(e.withColumn("one", F.lit(1)) for e in extras), ["table", "kind", "name"])
+        x = both_sides(*(e.join(both, "table", "left_semi").distinct().withColumn("one", F.lit(1)) for e in extras), ["table", "kind", "name"])
         parts.append(x.where(_gone()).select(F.concat_ws(".", "table", "name").alias("path"), F.concat(F.lit("database."), "kind", F.lit("_removed")).alias("code"), F.lit("potentially_breaking").alias("status")))
+    if documents:
+        m = both_sides(*(_once(x, ["document"]) for x in documents), ["document"])
+        same = F.col("b.revision") == F.col("a.revision")
+        parts.append(findings(m, F.col("document"), [
+            ("database.extraction_incomplete", "unknown", F.coalesce("b.incomplete", F.lit(False)) | F.coalesce("a.incomplete", F.lit(False))),
+            ("database.migration_predecessor_changed", "breaking", same & differ("down_revision")), ("database.migration_predecessor_conflict", "potentially_breaking", known("revision") & ~same & ~F.col("a.down_revision").eqNullSafe(F.col("b.revision")))]))
     return deduplicated(*parts)
 
 

@@ -26,22 +26,19 @@ def contract_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def contract_issues(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(code, id): contracts without a consumer, without evidence, edges without evidence, unsure edges, and names used twice.
+    """(code, severity, subject): what keeps links from proving a contract.
 
-    One pass over the edges tells of each which ends are contracts and whether known evidence backs it; the rest reads that.
+    Ends of edges that are no nodes (one row for each end), confidences that are no share (of edges and of evidence), links that
+    are not confirmed, and evidence that an edge names but nobody observed (one row for each).
     """
-    c = contracts(nodes)
-    mark = lambda end: c.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_is"))
-    e = edges.select("id", "source", "target", "status", F.explode_outer("evidence").alias("ev")).join(mark("source"), "source", "left").join(mark("target"), "target", "left").where("source_is or target_is")
-    e = e.join(evidence.select(F.col("id").alias("ev"), F.lit(True).alias("known")), "ev", "left")
-    e = written(e.groupBy("id", "source", "target", "status", "source_is", "target_is").agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("backed")), "issues")
-    row = lambda df, code, col="id": df.select(F.lit(code).alias("code"), F.col(col).alias("id"))
-    used = e.where("target_is").select(F.col("target").alias("id"))
-    ends = F.array_compact(F.array(F.when(F.col("source_is"), F.col("source")), F.when(F.col("target_is"), F.col("target"))))
-    backed = e.where("backed").select(F.explode(ends).alias("id"))
-    names = c.groupBy("stable_key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    return (row(c.join(used, "id", "left_anti"), "contract_without_consumer").unionByName(row(c.join(backed, "id", "left_anti"), "contract_without_evidence")).unionByName(row(e.where("not backed"), "link_without_evidence"))
-            .unionByName(row(e.where("status <> 'confirmed'"), "link_not_confirmed")).unionByName(row(names, "duplicate_identity", "low")))
+    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | ~F.col(c).cast("double").between(0.0, 1.0)
+    row = lambda df, code, severity, col="id": df.select(F.lit(f"contract.{code}").alias("code"), F.lit(severity).alias("severity"), F.col(col).alias("subject"))
+    ends = edges.select("id", F.explode(F.array("source", "target")).alias("end"))
+    dangling = ends.join(nodes.select(F.col("id").alias("end")), "end", "left_anti")
+    named = edges.select("id", F.explode("evidence").alias("evidence_id"))
+    unseen = named.join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_anti")
+    return (row(dangling, "dangling_edge", "error").unionByName(row(edges.where(bad("confidence")), "invalid_confidence", "error")).unionByName(row(edges.where("status <> 'confirmed'"), "unresolved_link", "unknown"))
+            .unionByName(row(unseen, "evidence_not_observed", "unknown")).unionByName(row(evidence.where(bad("confidence")), "invalid_evidence_confidence", "error")))
 
 
 def evidence_index(edges: DataFrame) -> DataFrame:
@@ -111,9 +108,12 @@ def freshness(repos: DataFrame) -> DataFrame:
 
 
 def freshness_summary(states: DataFrame) -> DataFrame:
-    """One row: fresh if all are, stale if any is known to be behind, else partial or unknown."""
-    a = states.agg(F.bool_and(F.col("state") == "fresh").alias("all"), F.bool_or(F.col("state").isin("unavailable", "corrupt", "unknown")).alias("lost"), F.bool_or(F.col("state") != "fresh").alias("some"), F.count("*").alias("repositories"), F.count_if(F.col("state") == "fresh").alias("fresh"))
-    return a.select(F.when(F.col("repositories") == 0, "unknown").when(F.col("all"), "fresh").when(F.col("lost"), "partial").otherwise("stale").alias("overall"), "repositories", "fresh")
+    """One row: fresh if all are; unknown if any is unknown, unavailable or corrupt; then partial if any is; else stale."""
+    a = states.agg(
+        F.bool_and(F.col("state") == "fresh").alias("all"), F.bool_or(F.col("state").isin("unavailable", "corrupt", "unknown")).alias("lost"), F.bool_or(F.col("state") == "partial").alias("part"), F.count("*").alias("repositories"),
+        F.count_if(F.col("state") == "fresh").alias("fresh"))
+    overall = F.when((F.col("repositories") == 0) | F.col("lost"), "unknown").when(F.col("all"), "fresh").when(F.col("part"), "partial").otherwise("stale")
+    return a.select(overall.alias("overall"), "repositories", "fresh")
 
 
 def status(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -147,9 +147,25 @@ def envelope(data: DataFrame, states: DataFrame, warnings: Sequence[str] = ()) -
     return {"schema_version": 1, "status": "ok" if f.overall == "fresh" else "partial", "data": data, "freshness": f.asDict(), "warnings": list(warnings)}
 
 
-def relations(edges: DataFrame, nodes: DataFrame, node_id: str, most: int = 50) -> DataFrame:
-    """What a node is tied to, the closest kinds first."""
-    first = F.array_position(F.array(*map(F.lit, ("calls_remote", "consumes", "publishes", "subscribes", "delivers_to", "implemented_by", "reads_table", "writes_table"))), F.col("kind"))
-    e = edges.where((F.col("source") == node_id) | (F.col("target") == node_id)).withColumn("other", F.when(F.col("source") == node_id, F.col("target")).otherwise(F.col("source")))
-    e = e.join(nodes.select(F.col("id").alias("other"), "label"), "other").withColumn("priority", F.when(first > 0, first).otherwise(99))
-    return e.select("id", "kind", "other", "label", "priority").orderBy("priority", "kind", "id").limit(most)
+#: Kinds of edges that come first among a node's relations.
+FIRST_RELATIONS = ("calls_remote", "depends_on_repository", "reads_table", "writes_table", "publishes", "subscribes", "delivers_to")
+
+
+def relations(edges: DataFrame, nodes: DataFrame, node_id: str, most: int = 50, deliveries: DataFrame | None = None) -> DataFrame:
+    """What a node is tied to: across repositories, then by workspace, then within one; delivery paths before observed edges; outgoing first.
+
+    deliveries(id, source, target): derived event paths, which count as edges of kind delivers_to.
+    """
+    e = edges.select("id", "source", "target", "kind", F.lit(1).alias("_d"))
+    if deliveries is not None:
+        e = e.unionByName(deliveries.select("id", "source", "target", F.lit("delivers_to").alias("kind"), F.lit(0).alias("_d")))
+    e = e.where((F.col("source") == node_id) | (F.col("target") == node_id)).withColumn("direction", F.when(F.col("source") == node_id, "outgoing").otherwise("incoming"))
+    e = e.withColumn("other", F.when(F.col("direction") == "outgoing", F.col("target")).otherwise(F.col("source")))
+    own = nodes.where(F.col("id") == node_id).select(F.col("repo_id").alias("_r"))  # one row
+    e = e.join(nodes.select(F.col("id").alias("other"), "label", "repo_id"), "other").join(F.broadcast(own))
+    scope = F.when(F.col("_r").isNull() | F.col("repo_id").isNull(), "workspace").when(F.col("_r") != F.col("repo_id"), "cross_repository").otherwise("local")
+    place = F.array_position(F.array(F.lit("cross_repository"), F.lit("workspace"), F.lit("local")), scope) - 1
+    kind = F.when(F.col("kind").isin(list(FIRST_RELATIONS)), 0).otherwise(1)
+    digit = lambda c: c.cast("string")
+    e = e.withColumn("scope", scope).withColumn("priority", F.concat(digit(place), digit(F.col("_d")), digit(F.when(F.col("direction") == "outgoing", 0).otherwise(1)), digit(kind)))
+    return e.select("id", "kind", "direction", "scope", "other", "label", "priority").orderBy("priority", "kind", "id").limit(most)

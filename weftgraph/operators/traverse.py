@@ -122,11 +122,12 @@ def deepest_layer(found: DataFrame) -> DataFrame:
     return near.join(F.broadcast(deepest), "depth").select("node", "depth")
 
 
-def ownership(contains: DataFrame, owned: DataFrame, max_rounds: int = 32) -> DataFrame:
+def ownership(contains: DataFrame, owned: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, repo_id): repositories that own a node directly, else through what contains it; several may.
 
-    contains(parent, child), confirmed; owned(node, repo_id), direct.  Direct owners win over inherited ones.
+    contains(parent, child), confirmed; owned(node, repo_id), direct.  Direct owners win over inherited ones.  Rounds go on until nothing is new, as many as the containment is deep.
     """
+    contains = written(contains.select("parent", "child").distinct(), "contains")
     known = written(owned.select("node", "repo_id").distinct(), "owners")
     frontier = known
     for _ in range(max_rounds):
@@ -134,5 +135,7 @@ def ownership(contains: DataFrame, owned: DataFrame, max_rounds: int = 32) -> Da
         new = written(new.join(owned.select("node").distinct(), "node", "left_anti").join(known, ["node", "repo_id"], "left_anti"), "owners")
         if new.isEmpty():
             break
-        known, frontier = written(known.unionByName(new), "owners"), new
+        known, frontier = known.unionByName(new), new  # the rounds before are written tables
+    else:
+        raise RuntimeError(f"ownership: not settled after {max_rounds} rounds")
     return known

@@ -27,24 +27,27 @@ def package_compat(spark, sf):
     b, a = _split(G.table(spark, sf, "part"), "p_partkey")
     major = lambda new: F.when(F.lit(new) & (F.col("p_partkey") % 7 == 0), F.col("p_size") + 1).otherwise(F.col("p_size"))
     minor = lambda new: F.when(F.lit(new) & (F.col("p_partkey") % 5 == 0), 1).otherwise(0)
-    view = lambda df, new: df.select(F.lit("npm").alias("ecosystem"), _s("p_partkey").alias("name"), F.when(F.col("p_partkey") % 11 != 0, F.concat_ws(".", _s(major(new)), _s(minor(new)), F.lit("0"))).alias("version"))
+    view = lambda df, new: df.select(F.lit("npm").alias("ecosystem"), _s("p_partkey").alias("name"), F.when(F.col("p_partkey") % 11 != 0, F.concat_ws(".", _s(major(new)), _s(minor(new)), F.lit("0"))).alias("version"), F.concat(F.lit("p"), _s(F.floor(F.col("p_partkey") / 7))).alias("source_path"))
     scope = F.element_at(F.array(*map(F.lit, ("runtime", "dev", "peer"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    deps = lambda df, new: df.select(_s(F.col("p_partkey") % 100).alias("package"), _s("p_partkey").alias("name"), scope.alias("scope"), F.concat(F.lit("^"), _s(major(new))).alias("range"))
+    moved = lambda new: F.when(F.lit(new) & (F.col("p_partkey") % 13 == 0), "dev").otherwise(scope)
+    deps = lambda df, new: df.select(_s(F.col("p_partkey") % 100).alias("package"), _s("p_partkey").alias("name"), moved(new).alias("scope"), F.when(F.col("p_partkey") % 17 != 0, F.concat(F.lit("^"), _s(major(new)))).alias("range"))
     kind = F.element_at(F.array(*map(F.lit, ("export", "feature", "workspace"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    vals = lambda df: df.where("p_partkey % 4 = 0").select(_s(F.col("p_partkey") % 100).alias("package"), kind.alias("kind"), _s("p_partkey").alias("value"))
+    vals = lambda df: df.select(_s(F.col("p_partkey") % 100).alias("package"), kind.alias("kind"), _s("p_partkey").alias("value"))
     return K.packages(view(b, False), view(a, True), (deps(b, False), deps(a, True)), (vals(b), vals(a)))
 
 
 def database_compat(spark, sf):
     b, a = _split(G.table(spark, sf, "customer"), "c_custkey")
-    old = F.element_at(F.array(*map(F.lit, ("BIGINT", "VARCHAR(40)", "INTEGER", "TEXT"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    new = F.when(F.col("c_custkey") % 7 == 0, F.element_at(F.array(*map(F.lit, ("INTEGER", "VARCHAR(20)", "BIGINT", "JSON"))), (F.col("c_custkey") % 4 + 1).cast("int"))).otherwise(old)
+    old = F.element_at(F.array(*map(F.lit, ("BIGINT", "VARCHAR(40)", "TINYINT", "TEXT"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    new = F.when(F.col("c_custkey") % 7 == 0, F.element_at(F.array(*map(F.lit, ("INTEGER", "VARCHAR(20)", None, "JSON"))), (F.col("c_custkey") % 4 + 1).cast("int"))).otherwise(old)
     view = lambda df, kind, changed: df.select(
         F.concat(F.lit("t"), _s("c_nationkey"), F.when(F.col("c_nationkey") == 3, "a" if changed else "b").otherwise("")).alias("table"), _s("c_custkey").alias("column"), kind.alias("type"),
-        (F.col("c_custkey") % 6 != 0 if not changed else F.col("c_custkey") % 4 != 0).alias("nullable"), (F.col("c_custkey") % 8 == 0).alias("has_default"), (F.col("c_custkey") % (5 if not changed else 15) == 0).alias("primary_key"))
-    kind = F.element_at(F.array(*map(F.lit, ("unique", "index", "foreign_key"))), (F.col("c_custkey") % 3 + 1).cast("int"))
-    extra = lambda df: df.where("c_custkey % 9 = 0").select(F.concat(F.lit("t"), _s("c_nationkey")).alias("table"), kind.alias("kind"), _s("c_custkey").alias("name"))
-    return K.database(view(b, old, False), view(a, new, True), (extra(b), extra(a)))
+        (F.when(F.col("c_custkey") % 23 != 0, F.col("c_custkey") % 6 != 0) if not changed else F.col("c_custkey") % 4 != 0).alias("nullable"), (F.col("c_custkey") % 8 == 0).alias("has_default"), (F.col("c_custkey") % (5 if not changed else 15) == 0).alias("primary_key"), (F.col("c_custkey") % (3 if not changed else 9) == 0).alias("unique"))
+    kind = F.element_at(F.array(*map(F.lit, ("index", "foreign_key"))), (F.col("c_custkey") % 2 + 1).cast("int"))
+    extra = lambda df: df.select(F.concat(F.lit("t"), _s("c_nationkey")).alias("table"), kind.alias("kind"), _s("c_custkey").alias("name"))
+    rev = lambda df, new: df.select(F.concat(F.lit("m"), _s("c_custkey")).alias("document"), (F.col("c_custkey") % 31 == 0).alias("incomplete"), F.when(F.lit(new) & (F.col("c_custkey") % 3 == 0), F.concat(_s("c_custkey"), F.lit("n"))).otherwise(_s("c_custkey")).alias("revision"),
+                                    F.when(F.lit(new) & (F.col("c_custkey") % 5 == 0), _s("c_custkey")).otherwise("base").alias("down_revision"))
+    return K.database(view(b, old, False), view(a, new, True), (extra(b), extra(a)), (rev(b, False), rev(a, True)))
 
 
 def graphql_compat(spark, sf):
@@ -92,29 +95,34 @@ q AS (SELECT x.m, x.p, count(*) AS c FROM j AS x JOIN j AS y ON x.gone AND y.new
 f AS (SELECT j.m || ' ' || j.p AS path, CASE WHEN c = 1 THEN 'http.operation_changed' ELSE 'http.operation_removed' END AS code, CASE WHEN c = 1 THEN 'potentially_breaking' ELSE 'breaking' END AS status FROM j LEFT JOIN q ON q.m = j.m AND q.p = j.p WHERE gone
   UNION ALL SELECT m || ' ' || p, 'http.operation_added', 'compatible' FROM j WHERE new UNION ALL SELECT m || ' ' || p, 'http.operation_incomplete', 'unknown' FROM j WHERE inc UNION ALL SELECT m || ' ' || p, 'http.operation_duplicate', 'incomparable' FROM j WHERE n > 1
   UNION ALL SELECT 'schema', 'http.schema_semantics_unmodeled', 'incomparable')"""
-_DATABASE = f"""v AS (SELECT c_custkey AS k, c_nationkey AS n, ['BIGINT', 'VARCHAR(40)', 'INTEGER', 'TEXT'][CAST(c_custkey % 4 + 1 AS INT)] AS old, ['INTEGER', 'VARCHAR(20)', 'BIGINT', 'JSON'][CAST(c_custkey % 4 + 1 AS INT)] AS new FROM customer),
+_DATABASE = f"""v AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
 j AS (SELECT *, k % 10 <> 0 AS inb, k % 10 <> 1 AS ina, 't' || n || '.' || k AS path FROM v WHERE n <> 3),
-f AS (SELECT 't3b' AS path, 'database.table_removed' AS code, 'breaking' AS status UNION ALL SELECT 't3a', 'database.table_added', 'compatible'
-  UNION ALL SELECT path, 'database.column_removed', 'breaking' FROM j WHERE NOT ina UNION ALL SELECT path, 'database.column_added', 'compatible' FROM j WHERE NOT inb
-  UNION ALL SELECT path, 'database.column_type_changed', CASE WHEN k % 4 < 2 THEN 'breaking' ELSE 'potentially_breaking' END FROM j WHERE ina AND inb AND k % 7 = 0
-  UNION ALL SELECT path, 'database.nullability_changed', CASE WHEN k % 8 = 0 THEN 'potentially_breaking' ELSE 'breaking' END FROM j WHERE ina AND inb AND k % 6 <> 0 AND k % 4 = 0
-  UNION ALL SELECT path, 'database.nullability_relaxed', 'compatible' FROM j WHERE ina AND inb AND k % 6 = 0 AND k % 4 <> 0
+f AS (SELECT 't3b' AS path, 'database.table_removed' AS code, 'breaking' AS status
+  UNION ALL SELECT path, 'database.column_removed', 'breaking' FROM j WHERE NOT ina
+  UNION ALL SELECT path, 'database.column_type_changed', CASE k % 4 WHEN 2 THEN 'unknown' WHEN 3 THEN 'potentially_breaking' ELSE 'breaking' END FROM j WHERE ina AND inb AND k % 7 = 0
+  UNION ALL SELECT path, 'database.column_nullability_changed', CASE WHEN b IS NULL THEN 'unknown' WHEN a THEN 'compatible' WHEN k % 8 = 0 THEN 'potentially_breaking' ELSE 'breaking' END
+    FROM (SELECT *, CASE WHEN k % 23 <> 0 THEN k % 6 <> 0 END AS b, k % 4 <> 0 AS a FROM j WHERE ina AND inb) WHERE b IS DISTINCT FROM a
   UNION ALL SELECT path, 'database.primary_key_removed', 'breaking' FROM j WHERE ina AND inb AND k % 5 = 0 AND k % 15 <> 0
-  UNION ALL SELECT 't' || n || '.' || k, 'database.' || ['unique', 'index', 'foreign_key'][CAST(k % 3 + 1 AS INT)] || '_removed', 'potentially_breaking' FROM v WHERE k % 9 = 0 AND k % 10 = 1
-  UNION ALL SELECT 'consumers', 'database.shared_consumer_impact_unmodeled', 'unknown')"""
+  UNION ALL SELECT path, 'database.unique_constraint_removed', 'potentially_breaking' FROM j WHERE ina AND inb AND k % 3 = 0 AND k % 9 <> 0
+  UNION ALL SELECT 't' || n || '.' || k, 'database.' || ['index', 'foreign_key'][CAST(k % 2 + 1 AS INT)] || '_removed', 'potentially_breaking' FROM v WHERE k % 10 = 1 AND n <> 3
+  UNION ALL SELECT 'm' || k, 'database.extraction_incomplete', 'unknown' FROM v WHERE k % 31 = 0
+  UNION ALL SELECT 'm' || k, 'database.migration_predecessor_changed', 'breaking' FROM v WHERE k % 10 > 1 AND k % 3 <> 0 AND k % 5 = 0 UNION ALL SELECT 'm' || k, 'database.migration_predecessor_conflict', 'potentially_breaking' FROM v WHERE k % 10 > 1 AND k % 3 = 0 AND k % 5 <> 0
+  UNION ALL SELECT 'database.consumers', 'database.shared_consumer_impact_unmodeled', 'unknown')"""
 
 ORACLE_SQL = {
     "http_compat": f"WITH {_HTTP} {_ONCE}",
-    "package_compat": f"""WITH v AS (SELECT p_partkey AS k, p_size AS s, k % 10 <> 0 AS inb, k % 10 <> 1 AS ina FROM part),
-f AS (SELECT 'npm:' || k AS path, 'package.coordinate_removed' AS code, 'breaking' AS status FROM v WHERE NOT ina UNION ALL SELECT 'npm:' || k, 'package.coordinate_added', 'compatible' FROM v WHERE NOT inb
+    "package_compat": f"""WITH v AS (SELECT p_partkey AS k, p_size AS s, CAST(p_partkey AS VARCHAR) AS name, p_partkey // 7 AS file, k % 10 <> 0 AS inb, k % 10 <> 1 AS ina FROM part),
+rn AS (SELECT min(name) FILTER (NOT ina) AS from_, min(name) FILTER (NOT inb) AS to_ FROM v GROUP BY file HAVING count(*) FILTER (NOT inb) = 1 AND count(*) FILTER (NOT ina) > 0),
+dp AS (SELECT *, ['runtime', 'dev', 'peer'][CAST(k % 3 + 1 AS INT)] AS scope, CASE WHEN k % 13 = 0 THEN 'dev' ELSE ['runtime', 'dev', 'peer'][CAST(k % 3 + 1 AS INT)] END AS scope2, k % 17 = 0 AS vague FROM v),
+f AS (SELECT 'npm:' || k AS path, CASE WHEN name IN (SELECT from_ FROM rn) THEN 'package.coordinate_renamed' ELSE 'package.coordinate_removed' END AS code, 'breaking' AS status FROM v WHERE NOT ina
+  UNION ALL SELECT 'npm:' || k, 'package.coordinate_added', 'compatible' FROM v WHERE NOT inb AND name NOT IN (SELECT to_ FROM rn)
   UNION ALL SELECT 'npm:' || k, 'package.declared_version_changed', CASE WHEN k % 7 = 0 THEN 'breaking' ELSE 'potentially_breaking' END FROM v WHERE ina AND inb AND k % 11 <> 0 AND (k % 7 = 0 OR k % 5 = 0)
-  UNION ALL SELECT (k % 100) || '/' || scope || '/' || k, CASE WHEN NOT ina THEN 'package.dependency_removed' WHEN NOT inb THEN 'package.dependency_added' ELSE 'package.dependency_drift' END,
-    CASE WHEN NOT inb THEN CASE scope WHEN 'peer' THEN 'potentially_breaking' ELSE 'unknown' END WHEN scope = 'dev' THEN 'unknown' ELSE 'potentially_breaking' END
-    FROM (SELECT *, ['runtime', 'dev', 'peer'][CAST(k % 3 + 1 AS INT)] AS scope FROM v) WHERE NOT ina OR NOT inb OR k % 7 = 0
-  UNION ALL SELECT (k % 100) || '/' || kind || '/' || k, CASE kind WHEN 'export' THEN 'package.export_removed' WHEN 'feature' THEN 'package.feature_removed' ELSE 'package.workspace_changed' END,
-    CASE kind WHEN 'export' THEN 'breaking' WHEN 'feature' THEN 'potentially_breaking' ELSE 'unknown' END
-    FROM (SELECT *, ['export', 'feature', 'workspace'][CAST(k % 3 + 1 AS INT)] AS kind FROM v WHERE k % 4 = 0) WHERE NOT ina OR (NOT inb AND kind = 'workspace')
-  UNION ALL SELECT 'types', 'package.type_declarations_unmodeled', 'unknown') {_ONCE}""",
+  UNION ALL SELECT (k % 100) || '/' || k, 'package.dependency_removed', CASE scope WHEN 'dev' THEN 'unknown' ELSE 'potentially_breaking' END FROM dp WHERE NOT ina
+  UNION ALL SELECT (k % 100) || '/' || k, 'package.dependency_added', CASE scope2 WHEN 'peer' THEN 'potentially_breaking' ELSE 'unknown' END FROM dp WHERE NOT inb
+  UNION ALL SELECT (k % 100) || '/' || k, 'package.dependency_drift', CASE WHEN vague OR scope = 'dev' THEN 'unknown' ELSE 'potentially_breaking' END FROM dp WHERE ina AND inb AND ((k % 7 = 0 AND NOT vague) OR scope <> scope2)
+  UNION ALL SELECT (k % 100) || '/' || kind || '/' || k, 'package.' || kind || '_removed', CASE kind WHEN 'export' THEN 'breaking' WHEN 'feature' THEN 'potentially_breaking' ELSE 'unknown' END
+    FROM (SELECT *, ['export', 'feature', 'workspace'][CAST(k % 3 + 1 AS INT)] AS kind FROM v) WHERE NOT ina
+  UNION ALL SELECT 'package.workspace', 'package.workspace_cycle_unmodeled', 'unknown' UNION ALL SELECT 'package.types', 'package.type_declarations_unmodeled', 'unknown') {_ONCE}""",
     "database_compat": f"WITH {_DATABASE} {_ONCE}",
     "graphql_compat": f"""WITH v AS (SELECT s_suppkey AS k, 'T' || s_nationkey AS t, k % 10 <> 0 AS inb, k % 10 <> 1 AS ina FROM supplier),
 tt AS (SELECT t, bool_or(inb) AS tb, bool_or(ina) AS ta FROM v GROUP BY t),

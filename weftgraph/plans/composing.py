@@ -25,7 +25,7 @@ def router_mounts(spark, sf):
 def symbol_resolution(spark, sf):
     c = G.table(spark, sf, "customer")
     symbols = c.select(F.concat(F.lit("sym"), _s("c_custkey")).alias("symbol"), F.concat(F.lit("r"), _s(F.col("c_nationkey") % 3)).alias("repo_id"), F.concat(F.lit("m"), _s(F.col("c_custkey") % 7)).alias("module"), F.concat(F.lit("a"), _s(F.col("c_custkey") % 4), F.lit("/b"), _s(F.col("c_custkey") % 9), F.lit("/f"), _s(F.col("c_custkey") % 500)).alias("key"))
-    o = G.table(spark, sf, "orders").where("o_orderkey % 6 = 0")
+    o = G.table(spark, sf, "orders")
     k = F.col("o_custkey")
     name = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("a"), _s(k % 4), F.lit("/b"), _s(k % 9), F.lit("/f"), _s(k % 500))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("b"), _s(k % 9), F.lit("/f"), _s(k % 500))).otherwise(F.concat(F.lit("z/f"), _s(k % 500)))
     refs = o.select(F.concat(F.lit("ref"), _s("o_orderkey")).alias("reference"), F.concat(F.lit("r"), _s(F.col("o_orderkey") % 3)).alias("repo_id"), F.concat(F.lit("m"), _s(k % 7)).alias("module"), name.alias("name"))
@@ -36,10 +36,10 @@ def url_wrappers(spark, sf):
     p = G.table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     part = lambda kind, text, idx: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), idx.cast("int").alias("idx"))
     none = F.lit(None)
-    urls = p.where("k <= 20").select(F.concat(F.lit("f"), _s("k")).alias("function"), F.array(part("text", F.concat(F.lit("/api/"), _s("k"), F.lit("/")), none), part("param", none, F.lit(0)), part("text", F.lit("/end"), none)).alias("parts"))
+    urls = p.select(F.concat(F.lit("f"), _s("k")).alias("function"), F.array(part("text", F.concat(F.lit("/api/"), _s("k"), F.lit("/")), none), part("param", none, F.lit(0)), part("text", F.lit("/end"), none)).alias("parts"))
     half = F.floor(F.col("k") / 2)
     args = F.when(F.col("k") % 3 == 0, F.array(part("text", F.concat(F.lit("v"), _s("k")), none))).when(F.col("k") % 5 == 0, F.array().cast(J.PART)).otherwise(F.array(part("param", none, F.lit(0))))
-    calls = p.where("k <= 160").where(half > 0).select(F.concat(F.lit("f"), _s("k")).alias("caller"), F.concat(F.lit("f"), _s(half)).alias("callee"), args.alias("arguments"))
+    calls = p.where(half > 0).select(F.concat(F.lit("f"), _s("k")).alias("caller"), F.concat(F.lit("f"), _s(half)).alias("callee"), args.alias("arguments"))
     return J.instantiated(urls, calls).select("function", J.literal(F.col("parts")).alias("url"))
 
 
@@ -47,15 +47,15 @@ def reached_consumers(spark, sf):
     p = G.table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     half = F.floor(F.col("k") / 2)
     calls = p.where(half > 0).select(_s("k").alias("caller"), _s(half).alias("callee"))
-    return J.reached(p.where("k % 2 = 0").select(F.concat(F.lit("t"), _s("k")).alias("test"), _s("k").alias("function")), calls, p.where("k % 3 = 0").select(_s("k").alias("function"), F.concat(F.lit("c"), _s("k")).alias("consumer")))
+    return J.reached(p.select(F.concat(F.lit("t"), _s("k")).alias("test"), _s("k").alias("function")), calls, p.select(_s("k").alias("function"), F.concat(F.lit("c"), _s("k")).alias("consumer")))
 
 
 def infrastructure_dependencies(spark, sf):
     s, c = G.table(spark, sf, "supplier"), G.table(spark, sf, "customer")
     repo = lambda k: F.concat(F.lit("r"), _s(F.col(k) % 4))
     first = s.select(repo("s_suppkey").alias("repo_id"), F.concat(F.lit("n"), _s(F.col("s_suppkey") % 70)).alias("name"), F.concat(F.lit("unit"), _s("s_suppkey")).alias("id"))
-    second = c.where("c_custkey <= 300").select(repo("c_custkey").alias("repo_id"), F.concat(F.lit("n"), _s(F.col("c_custkey") % 250)).alias("name"), F.concat(F.lit("res"), _s("c_custkey")).alias("id"))
-    refs = G.table(spark, sf, "part").where("p_partkey <= 1200").select(F.concat(F.lit("ref"), _s("p_partkey")).alias("reference"), repo("p_partkey").alias("repo_id"), F.concat(F.lit("n"), _s(F.col("p_partkey") % 260)).alias("name"))
+    second = c.select(repo("c_custkey").alias("repo_id"), F.concat(F.lit("n"), _s(F.col("c_custkey") % 1250)).alias("name"), F.concat(F.lit("res"), _s("c_custkey")).alias("id"))
+    refs = G.table(spark, sf, "part").select(F.concat(F.lit("ref"), _s("p_partkey")).alias("reference"), repo("p_partkey").alias("repo_id"), F.concat(F.lit("n"), _s(F.col("p_partkey") % 1260)).alias("name"))
     return J.prioritised(refs, first, second).select("reference", "target")
 
 
@@ -82,19 +82,19 @@ w AS (SELECT c, p AS top, x, 1 AS d FROM m UNION ALL SELECT w.c, m.p, m.x || w.x
 f AS (SELECT DISTINCT c, x FROM w WHERE top NOT IN (SELECT c FROM m)), g AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY x) AS n FROM f)
 SELECT 'op' || s_suppkey AS provider, coalesce(x, '') || '/r' AS route FROM supplier LEFT JOIN g ON c = s_suppkey AND n <= 16 UNION ALL SELECT 'opa', '/r'""",
     "symbol_resolution": """WITH s AS (SELECT 'sym' || c_custkey AS symbol, 'r' || (c_nationkey % 3) AS repo, 'm' || (c_custkey % 7) AS module, 'a' || (c_custkey % 4) || '/b' || (c_custkey % 9) || '/f' || (c_custkey % 500) AS key FROM customer),
-r AS (SELECT 'ref' || o_orderkey AS reference, 'r' || (o_orderkey % 3) AS repo, 'm' || (o_custkey % 7) AS module, CASE o_orderkey % 4 WHEN 0 THEN 'a' || (o_custkey % 4) || '/b' || (o_custkey % 9) || '/f' || (o_custkey % 500) WHEN 2 THEN 'b' || (o_custkey % 9) || '/f' || (o_custkey % 500) ELSE 'z/f' || (o_custkey % 500) END AS name FROM orders WHERE o_orderkey % 6 = 0),
+r AS (SELECT 'ref' || o_orderkey AS reference, 'r' || (o_orderkey % 3) AS repo, 'm' || (o_custkey % 7) AS module, CASE o_orderkey % 4 WHEN 0 THEN 'a' || (o_custkey % 4) || '/b' || (o_custkey % 9) || '/f' || (o_custkey % 500) WHEN 2 THEN 'b' || (o_custkey % 9) || '/f' || (o_custkey % 500) ELSE 'z/f' || (o_custkey % 500) END AS name FROM orders),
 l AS (SELECT reference, min(symbol) AS x FROM r JOIN s ON r.repo = s.repo AND r.module = s.module AND key = name GROUP BY 1 HAVING count(DISTINCT symbol) = 1),
 t AS (SELECT reference, min(symbol) AS x FROM r JOIN s ON r.repo = s.repo AND ends_with('/' || key, '/' || name) GROUP BY 1 HAVING count(DISTINCT symbol) = 1),
 e AS (SELECT reference, min(symbol) AS x FROM r JOIN s ON r.repo = s.repo AND regexp_extract(key, '[^/]+$') = regexp_extract(name, '[^/]+$') GROUP BY 1 HAVING count(DISTINCT symbol) = 1)
 SELECT r.reference, coalesce(l.x, t.x, e.x) AS symbol FROM r LEFT JOIN l USING (reference) LEFT JOIN t USING (reference) LEFT JOIN e USING (reference)""",
-    "url_wrappers": """WITH RECURSIVE c AS (SELECT p_partkey AS k, p_partkey // 2 AS callee, CASE WHEN p_partkey % 3 = 0 THEN 'v' || p_partkey WHEN p_partkey % 5 = 0 THEN '{}' END AS v FROM part WHERE p_partkey <= 160 AND p_partkey // 2 > 0),
-o AS (SELECT p_partkey AS origin, p_partkey AS f, CAST(NULL AS VARCHAR) AS v, 0 AS hops FROM part WHERE p_partkey <= 20 UNION ALL SELECT origin, k, c.v, hops + 1 FROM o JOIN c ON c.callee = o.f WHERE o.v IS NULL AND hops < 3)
+    "url_wrappers": """WITH RECURSIVE c AS (SELECT p_partkey AS k, p_partkey // 2 AS callee, CASE WHEN p_partkey % 3 = 0 THEN 'v' || p_partkey WHEN p_partkey % 5 = 0 THEN '{}' END AS v FROM part WHERE p_partkey // 2 > 0),
+o AS (SELECT p_partkey AS origin, p_partkey AS f, CAST(NULL AS VARCHAR) AS v, 0 AS hops FROM part UNION ALL SELECT origin, k, c.v, hops + 1 FROM o JOIN c ON c.callee = o.f WHERE o.v IS NULL AND hops < 3)
 SELECT DISTINCT 'f' || f AS function, '/api/' || origin || '/' || v || '/end' AS url FROM o WHERE v IS NOT NULL""",
-    "reached_consumers": """WITH RECURSIVE r AS (SELECT p_partkey AS t, p_partkey AS f, 0 AS d FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT t, f // 2, d + 1 FROM r WHERE d < 3 AND f // 2 > 0)
-SELECT 't' || t AS test, 'c' || f AS consumer, min(d) AS depth FROM r WHERE f % 3 = 0 GROUP BY ALL""",
+    "reached_consumers": """WITH RECURSIVE r AS (SELECT p_partkey AS t, p_partkey AS f, 0 AS d FROM part UNION ALL SELECT t, f // 2, d + 1 FROM r WHERE d < 3 AND f // 2 > 0)
+SELECT 't' || t AS test, 'c' || f AS consumer, min(d) AS depth FROM r GROUP BY ALL""",
     "infrastructure_dependencies": """WITH f AS (SELECT 'r' || (s_suppkey % 4) AS repo, 'n' || (s_suppkey % 70) AS name, min('unit' || s_suppkey) AS id, count(*) AS n FROM supplier GROUP BY ALL),
-s AS (SELECT 'r' || (c_custkey % 4) AS repo, 'n' || (c_custkey % 250) AS name, min('res' || c_custkey) AS id, count(*) AS n FROM customer WHERE c_custkey <= 300 GROUP BY ALL)
-SELECT 'ref' || p_partkey AS reference, CASE WHEN f.n = 1 THEN f.id WHEN f.n IS NULL AND s.n = 1 THEN s.id END AS target FROM part LEFT JOIN f ON f.repo = 'r' || (p_partkey % 4) AND f.name = 'n' || (p_partkey % 260) LEFT JOIN s ON s.repo = 'r' || (p_partkey % 4) AND s.name = 'n' || (p_partkey % 260) WHERE p_partkey <= 1200""",
+s AS (SELECT 'r' || (c_custkey % 4) AS repo, 'n' || (c_custkey % 1250) AS name, min('res' || c_custkey) AS id, count(*) AS n FROM customer GROUP BY ALL)
+SELECT 'ref' || p_partkey AS reference, CASE WHEN f.n = 1 THEN f.id WHEN f.n IS NULL AND s.n = 1 THEN s.id END AS target FROM part LEFT JOIN f ON f.repo = 'r' || (p_partkey % 4) AND f.name = 'n' || (p_partkey % 1260) LEFT JOIN s ON s.repo = 'r' || (p_partkey % 4) AND s.name = 'n' || (p_partkey % 1260)""",
     "document_references": """WITH r AS (SELECT DISTINCT 'doc' || (p_partkey % 90) AS document, ['service', 'repository', 'http'][CAST(p_partkey % 3 + 1 AS INT)] AS k, p_partkey % 130 AS v FROM part), t AS (SELECT s_suppkey % 80 AS v, min('x' || s_suppkey) AS id, count(*) AS n FROM supplier GROUP BY 1)
 SELECT DISTINCT document, CASE k WHEN 'repository' THEN 'depends_on_repository' ELSE 'documents' END AS kind, id AS target FROM r JOIN t USING (v) WHERE n = 1 AND k <> 'http' UNION ALL SELECT document, 'gap', CAST(v AS VARCHAR) FROM r WHERE k = 'repository' AND v NOT IN (SELECT v FROM t)""",
     "environment_keys": """WITH k AS (SELECT 'r' || (c_custkey % 5) AS repo_id, 'K' || (c_custkey % 800) AS name, min('cfg' || c_custkey) AS id FROM customer GROUP BY ALL HAVING count(*) = 1)

@@ -69,7 +69,7 @@ def _items(spark, sf):
 
 
 def _tests(spark, sf):
-    d = G.table(spark, sf, "documents").where("lang = 'en'")
+    d = G.table(spark, sf, "documents")
     id_ = F.concat(F.lit("test:"), _s("doc_id"))
     nodes = d.select(id_.alias("id"), F.lit("test_case").alias("kind"), F.col("source").alias("repo_id"), F.concat(F.lit("test:"), "source", F.lit(":"), _s("doc_id")).alias("stable_key"), F.concat(F.lit("tests/t"), _s("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".rs")).alias("label"))
     edges = d.select(id_.alias("source"), F.concat(F.lit("order:"), _s(F.col("doc_id") * 13 % 997)).alias("target"), F.lit("validates").alias("kind"))
@@ -128,60 +128,58 @@ def risk_unknown(spark, sf):
 def worst_freshness(spark, sf):
     e = G.table(spark, sf, "events")
     state = F.element_at(F.array(*map(F.lit, ("fresh", "commits_behind", "partial", "unavailable"))), (F.col("event_id") * 7 % 4 + 1).cast("int"))
-    rows = e.where("event_id % 9 = 0").select(F.concat(F.lit("nation-"), _s(F.col("user_id") % 25)).alias("repo_id"), state.alias("state"), F.col("event_id").alias("seq"))
+    rows = e.select(F.concat(F.lit("nation-"), _s(F.col("user_id") % 25)).alias("repo_id"), state.alias("state"), F.col("event_id").alias("seq"))
     return P.worst_freshness(rows, F.array_position(F.array(*map(F.lit, ("fresh", "commits_behind", "partial", "unavailable"))), F.col("state")))
 
 
 # --- communities ----------------------------------------------------------------------------------------------------
 
 
-def _small(spark, sf):
-    """Suppliers, nations and regions, and a ring of suppliers of the same key modulo 4."""
-    nodes = G.nodes(spark, sf, ("service", "repository", "owner"))
-    s = G.table(spark, sf, "supplier")
-    ring = s.alias("a").join(s.alias("b"), F.col("a.s_suppkey") + 4 == F.col("b.s_suppkey")).select(
-        F.concat(F.lit("supplier:"), _s("a.s_suppkey")).alias("source"), F.concat(F.lit("supplier:"), _s("b.s_suppkey")).alias("target"), F.lit("calls_remote").alias("kind"),
-        ((F.col("a.s_suppkey") % 3 + 2) / 4.0).cast("float").alias("confidence"), F.lit("confirmed").alias("status"))
-    edges = G.edges(spark, sf, ("contains",)).where("target like 'supplier:%' and source in ('nation:1', 'nation:2', 'nation:3', 'nation:4')").select(ring.columns)
-    return nodes, ring.unionByName(edges)
+_KINDS = ("repository", "owner", "service", "symbol_ref", "http_operation", "package")
+
+
+def _whole(spark, sf):
+    return G.nodes(spark, sf, _KINDS), G.edges(spark, sf)
 
 
 def _members(spark, sf):
-    return G.memberships(spark, sf).where("node_id like 'supplier:%'")
+    return G.memberships(spark, sf)
 
 
 def community_edges(spark, sf):
-    return C.undirected(C.accepted_edges(_small(spark, sf)[1], 0.5, {"contains": 0.4})).withColumn("weight", F.round("weight", 6))
+    return C.undirected(C.accepted_edges(_whole(spark, sf)[1], 0.5, {"contains": 0.4})).withColumn("weight", F.round("weight", 6))
 
 
 def connected_components(spark, sf):
-    nodes, edges = _small(spark, sf)
+    nodes, edges = _whole(spark, sf)
     return C.connected_components(nodes, C.accepted_edges(edges, 0.8))
 
 
 def community_metrics(spark, sf):
-    nodes, edges = _small(spark, sf)
+    nodes, edges = _whole(spark, sf)
     return C.metrics(_members(spark, sf), C.accepted_edges(edges, 0.5), nodes)
 
 
 def god_nodes(spark, sf):
-    """Over a star: the packages that one order in a hundred depends on, and a hub that all of them are tied to."""
-    e = G.edges(spark, sf, ("contains",)).where("source = 'nation:3' and target like 'customer:%'")
+    """Over a star: a workspace that is tied to every customer, and the customers' owners beside it."""
+    star = G.table(spark, sf, "customer").select(F.lit("workspace:1").alias("source"), F.concat(F.lit("customer:"), _s("c_custkey")).alias("target"), F.lit("contains").alias("kind"), F.lit(1.0).cast("float").alias("confidence"), F.lit("confirmed").alias("status"))
+    e = star.unionByName(G.edges(spark, sf, ("owned_by",)).where("source like 'customer:%'").select(star.columns))
     ids = e.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     return C.god_nodes(ids, C.accepted_edges(e))
 
 
 def pagerank_64(spark, sf):
-    nodes, edges = _small(spark, sf)
+    nodes, edges = _whole(spark, sf)
     return C.page_rank(nodes, C.accepted_edges(edges, 0.5)).withColumn("rank", F.round("rank", 6))
 
 
 def _central(spark, sf):
-    nodes, edges = _small(spark, sf)
+    nodes, edges = _whole(spark, sf)
     a = C.accepted_edges(edges, 0.5)
     degree = C.degrees(a)
     ranks = degree.select("node", (1.0 / (F.length("node") + F.col("degree"))).alias("rank"))
-    return C.central_nodes(_members(spark, sf), ranks, degree, degree.where("degree >= 4").select("node"))
+    weights = C.weighted_degrees(C.undirected(a))
+    return C.central_nodes(_members(spark, sf), ranks, weights, degree.where("degree >= 30").select("node"))
 
 
 def central_nodes_top3(spark, sf):
@@ -189,23 +187,24 @@ def central_nodes_top3(spark, sf):
 
 
 def community_labels(spark, sf):
-    return C.labels(_members(spark, sf), _small(spark, sf)[0], _central(spark, sf))
+    return C.labels(_members(spark, sf), _whole(spark, sf)[0], _central(spark, sf))
 
 
 def community_delta(spark, sf):
     before = _members(spark, sf)
     k = F.regexp_extract("node_id", "[0-9]+$", 0).cast("long")
     after = before.select(F.when(F.col("community_id") == "community:1-0", F.concat(F.lit("split-"), _s(k % 4))).when(F.col("community_id").startswith("community:2"), "joined").when(k % 9 == 0, F.concat(F.lit("new-"), _s(k % 2))).otherwise(F.col("community_id")).alias("community_id"), "node_id")
-    return C.delta(before, after)
+    out = C.delta(before, after)
+    return out.select("change", F.array_join("before", ",").alias("before_ids"), F.array_join("after", ",").alias("after_ids"), F.round("overlap", 6).alias("overlap"))
 
 
 def louvain(spark, sf):
-    nodes, edges = _small(spark, sf)
+    nodes, edges = _whole(spark, sf)
     return C.louvain(nodes, C.accepted_edges(edges, 0.5))
 
 
 def label_propagation(spark, sf):
-    nodes, edges = _small(spark, sf)
+    nodes, edges = _whole(spark, sf)
     return C.label_propagation(nodes, C.accepted_edges(edges, 0.5))
 
 
@@ -236,20 +235,28 @@ items AS (SELECT n.id, kind, repo_id, stable_key, label, best // 100 AS sure, be
   CASE WHEN best = 1 THEN 'directly_dependent' WHEN best < 100 THEN 'transitively_affected' WHEN best < 200 THEN 'possibly_affected' ELSE 'unknown_due_to_coverage' END AS classification,
   CASE WHEN best = 1 THEN 1 WHEN best < 100 THEN 2 WHEN best < 200 THEN 3 ELSE 4 END AS c FROM reached JOIN nodes AS n ON n.id = node)"""
 _NAMES = "['directly_dependent', 'transitively_affected', 'possibly_affected', 'unknown_due_to_coverage']"
-_TESTS = """tests AS (SELECT 'test:' || doc_id AS test_id, 'order:' || (doc_id * 13 % 997) AS id, 'tests/t' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END AS label, 'test:' || source || ':' || doc_id AS test_key FROM documents WHERE lang = 'en')"""
+_TESTS = """tests AS (SELECT 'test:' || doc_id AS test_id, 'order:' || (doc_id * 13 % 997) AS id, 'tests/t' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END AS label, 'test:' || source || ':' || doc_id AS test_key FROM documents)"""
 _FACTORS = f"""n AS (SELECT count(*) FILTER (c = 1) AS d, count(*) FILTER (c = 2) AS t, count(DISTINCT repo_id) FILTER (repo_id <> 'nation-0') + 1 AS r, count(*) AS n, count(DISTINCT id) FILTER (kind = 'service') AS s, (SELECT count(*) FROM tests JOIN items USING (id)) AS tests FROM items),
 factors AS (SELECT * FROM (
   SELECT 'direct_consumers' AS code, least(d * 4.0, 24) AS weight FROM n UNION ALL SELECT 'transitive_fanout', least(t * 1.5, 15) FROM n UNION ALL SELECT 'cross_repository_count', least((r - 1) * 4.0, 16) FROM n
   UNION ALL SELECT 'missing_tests', CASE WHEN tests = 0 AND n > 0 THEN 10.0 ELSE 0 END FROM n UNION ALL SELECT 'missing_owners', CASE WHEN n > 0 THEN 8.0 ELSE 0 END FROM n UNION ALL SELECT 'service_impact', least(s * 2.0, 10) FROM n
   UNION ALL SELECT 'public_contract', 12.0 UNION ALL SELECT 'cross_environment', 10.0) WHERE weight > 0)"""
-_SMALL = """small AS (
-  SELECT 'supplier:' || a.s_suppkey AS source, 'supplier:' || b.s_suppkey AS target, 'calls_remote' AS kind, CAST(CAST((a.s_suppkey % 3 + 2) / 4.0 AS FLOAT) AS DOUBLE) AS confidence FROM supplier AS a JOIN supplier AS b ON a.s_suppkey + 4 = b.s_suppkey
-  UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'contains', 1.0 FROM supplier WHERE s_nationkey IN (1, 2, 3, 4)),
-sn AS (SELECT id, kind, stable_key, label FROM nodes WHERE kind IN ('service', 'repository', 'owner')),
-sm AS (SELECT * FROM memberships WHERE starts_with(node_id, 'supplier:'))"""
+_SMALL = """small AS (SELECT source, target, kind, confidence AS f, CAST(confidence AS DOUBLE) AS confidence FROM edges WHERE status = 'confirmed'),
+sn AS (SELECT id, kind, stable_key, label FROM nodes WHERE kind <> 'document'), sm AS (SELECT * FROM memberships)"""
 _RANKED = """deg AS (SELECT node, count(DISTINCT o) AS degree FROM (SELECT source AS node, target AS o FROM small UNION ALL SELECT target, source FROM small) GROUP BY node),
-central AS (SELECT community_id, node_id, place FROM (SELECT community_id, node_id, row_number() OVER (PARTITION BY community_id ORDER BY CASE WHEN degree >= 4 THEN 1 ELSE 0 END DESC,
-    round(0.65 * coalesce(1.0 / (length(node_id) + degree), 0.0) + 0.35 * coalesce(degree, 0) / (SELECT max(degree) FROM deg), 9) DESC, node_id) AS place FROM sm LEFT JOIN deg ON node = node_id) WHERE place <= 3)"""
+wd AS (SELECT node, round(sum(w), 9) AS weight FROM (SELECT unnest([a, b]) AS node, w FROM (SELECT least(source, target) AS a, greatest(source, target) AS b, round(sum(confidence), 9) AS w FROM small GROUP BY ALL)) GROUP BY node),
+mw AS (SELECT community_id, node_id, degree, coalesce(weight, 0) AS weight, max(coalesce(weight, 0)) OVER (PARTITION BY community_id) AS top FROM sm LEFT JOIN deg ON deg.node = node_id LEFT JOIN wd ON wd.node = node_id),
+central AS (SELECT community_id, node_id, place FROM (SELECT community_id, node_id, row_number() OVER (PARTITION BY community_id ORDER BY CASE WHEN degree >= 30 THEN 1 ELSE 0 END DESC,
+    round(0.65 * coalesce(1.0 / (length(node_id) + degree), 0.0) + 0.35 * CASE WHEN top > 0 THEN weight / top ELSE 0 END, 9) DESC, node_id) AS place FROM mw) WHERE place <= 3)"""
+
+
+def _components(rounds: int = 14) -> str:
+    """The least id within so many steps, more than the graph is wide."""
+    out = f"""WITH {G.GRAPH}, {_SMALL}, u AS MATERIALIZED (SELECT source AS x, target AS y FROM small WHERE f >= CAST(0.8 AS FLOAT) UNION SELECT target, source FROM small WHERE f >= CAST(0.8 AS FLOAT)),
+l0 AS MATERIALIZED (SELECT id AS node, id AS component FROM sn)"""
+    for k in range(1, rounds + 1):
+        out += f",\nl{k} AS MATERIALIZED (SELECT l.node, least(l.component, coalesce(m, l.component)) AS component FROM l{k - 1} AS l LEFT JOIN (SELECT x, min(component) AS m FROM u JOIN l{k - 1} ON node = y GROUP BY x) ON x = l.node)"
+    return f"{out}\nSELECT * FROM l{rounds}"
 
 
 def _pagerank(rounds: int = 64) -> str:
@@ -290,22 +297,21 @@ c AS (SELECT count(*) FILTER (state = 'fresh') AS fresh, count(*) FILTER (state
     "risk_factors": f"WITH RECURSIVE {G.GRAPH}, {_IMPACT}, {_TESTS}, {_FACTORS} SELECT code, round(CAST(weight AS DOUBLE), 6) AS weight FROM factors",
     "risk_score": f"WITH RECURSIVE {G.GRAPH}, {_IMPACT}, {_TESTS}, {_FACTORS}, s AS (SELECT greatest(least(CAST(sum(weight) AS DOUBLE), 100), 1) AS score FROM factors) SELECT CASE WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level, round(score, 6) AS score FROM s",
     "risk_unknown": "SELECT 'unknown' AS level, CAST(NULL AS DOUBLE) AS score",
-    "worst_freshness": """SELECT 'nation-' || (user_id % 25) AS repo_id, ['fresh', 'commits_behind', 'partial', 'unavailable'][CAST(max(event_id * 7 % 4) + 1 AS INT)] AS state FROM events WHERE event_id % 9 = 0 GROUP BY user_id % 25""",
-    "community_edges": f"WITH {G.GRAPH}, {_SMALL} SELECT least(source, target) AS a, greatest(source, target) AS b, round(sum(CASE kind WHEN 'contains' THEN 0.4 ELSE 1.0 END * confidence), 6) AS weight FROM small GROUP BY ALL",
-    "connected_components": f"""WITH RECURSIVE {G.GRAPH}, {_SMALL}, u AS (SELECT source AS x, target AS y FROM small WHERE confidence >= 0.8 UNION ALL SELECT target, source FROM small WHERE confidence >= 0.8),
-r AS (SELECT id AS node, id AS seen FROM sn UNION SELECT r.node, y FROM r JOIN u ON x = seen) SELECT node, min(seen) AS component FROM r GROUP BY node""",
+    "worst_freshness": """SELECT 'nation-' || (user_id % 25) AS repo_id, ['fresh', 'commits_behind', 'partial', 'unavailable'][CAST(max(event_id * 7 % 4) + 1 AS INT)] AS state FROM events GROUP BY user_id % 25""",
+    "community_edges": f"WITH {G.GRAPH}, {_SMALL} SELECT least(source, target) AS a, greatest(source, target) AS b, round(sum(CASE kind WHEN 'contains' THEN 0.4 ELSE 1.0 END * confidence), 6) AS weight FROM small WHERE source <> target GROUP BY ALL",
+    "connected_components": _components(),
     "community_metrics": f"""WITH {G.GRAPH}, {_SMALL}, e AS (SELECT small.*, a.community_id AS sc, b.community_id AS tc FROM small LEFT JOIN sm AS a ON a.node_id = source LEFT JOIN sm AS b ON b.node_id = target),
 own AS (SELECT sc AS community_id, sum(confidence) AS cohesion, count(DISTINCT (source, target)) AS pairs FROM e WHERE sc = tc GROUP BY sc),
 x AS (SELECT community_id, sum(confidence) AS coupling, count(*) AS n FROM (SELECT sc AS community_id, confidence FROM e WHERE sc IS DISTINCT FROM tc UNION ALL SELECT tc, confidence FROM e WHERE sc IS DISTINCT FROM tc) WHERE community_id IS NOT NULL GROUP BY 1),
 z AS (SELECT community_id, count(*) AS size FROM sm GROUP BY 1)
 SELECT community_id, size, round(coalesce(cohesion, 0), 6) AS cohesion, round(coalesce(coupling, 0), 6) AS coupling, coalesce(n, 0) AS cross_edges, 0 AS inbound_contracts, 0 AS outbound_contracts,
   CASE WHEN size > 1 THEN round(coalesce(pairs, 0) / (size * (size - 1)), 9) ELSE 0.0 END AS density FROM z LEFT JOIN own USING (community_id) LEFT JOIN x USING (community_id)""",
-    "god_nodes": "SELECT 'nation:3' AS node, count(*) AS degree FROM customer WHERE c_nationkey = 3",
+    "god_nodes": "SELECT 'workspace:1' AS node, count(*) AS degree FROM customer",
     "pagerank_64": _pagerank(),
     "central_nodes_top3": f"WITH {G.GRAPH}, {_SMALL}, {_RANKED} SELECT * FROM central",
     "community_labels": f"""WITH {G.GRAPH}, {_SMALL}, {_RANKED},
-m AS (SELECT sm.community_id, sm.node_id, label, stable_key, 400 + CASE WHEN c.node_id IS NULL THEN 0 ELSE 100 END AS score FROM sm JOIN sn ON id = sm.node_id LEFT JOIN central AS c ON c.node_id = sm.node_id AND c.community_id = sm.community_id),
-t AS (SELECT community_id, term, sum(score) AS score FROM (SELECT community_id, score, unnest(list_distinct(list_concat(regexp_split_to_array(lower(label), '[^\\p{{L}}\\p{{N}}]+'), regexp_split_to_array(lower(stable_key), '[^\\p{{L}}\\p{{N}}]+')))) AS term FROM m)
+m AS (SELECT sm.community_id, sm.node_id, label, stable_key, CASE kind WHEN 'service' THEN 400 ELSE 0 END + CASE WHEN c.node_id IS NULL THEN 0 ELSE 100 END AS score FROM sm JOIN sn ON id = sm.node_id LEFT JOIN central AS c ON c.node_id = sm.node_id AND c.community_id = sm.community_id),
+t AS (SELECT community_id, term, sum(score) AS score FROM (SELECT community_id, score, unnest(list_distinct(list_concat(regexp_split_to_array(lower(label), '[^\\p{{L}}\\p{{N}}]+'), regexp_split_to_array(lower(stable_key), '[^\\p{{L}}\\p{{N}}]+')))) AS term FROM m WHERE score > 0)
   WHERE strlen(term) BETWEEN 3 AND 32 AND regexp_matches(term, '\\p{{L}}') AND term NOT IN ({", ".join(f"'{x}'" for x in C.STOP_TERMS)}) GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY score DESC, term) AS place FROM t)
 SELECT community_id, string_agg(upper(term[1]) || term[2:], ' / ' ORDER BY place) AS label FROM p WHERE place <= 3 GROUP BY community_id""",
@@ -313,8 +319,10 @@ SELECT community_id, string_agg(upper(term[1]) || term[2:], ' / ' ORDER BY place
 a AS (SELECT CASE WHEN community_id = 'community:1-0' THEN 'split-' || (k % 4) WHEN starts_with(community_id, 'community:2') THEN 'joined' WHEN k % 9 = 0 THEN 'new-' || (k % 2) ELSE community_id END AS after_id, node_id FROM (SELECT *, CAST(regexp_extract(node_id, '[0-9]+$') AS BIGINT) AS k FROM sm)),
 j AS (SELECT before_id, after_id, count(*) AS n FROM a JOIN b USING (node_id) GROUP BY ALL), nb AS (SELECT before_id, count(*) AS nb FROM b GROUP BY 1), na AS (SELECT after_id, count(*) AS na FROM a GROUP BY 1),
 r AS (SELECT before_id, after_id, n / (nb + na - n) AS q FROM j JOIN nb USING (before_id) JOIN na USING (after_id) WHERE n / (nb + na - n) >= 0.25),
-w AS (SELECT *, count(*) OVER (PARTITION BY before_id) AS ob, count(*) OVER (PARTITION BY after_id) AS oa FROM r)
-SELECT * FROM (SELECT before_id, after_id, CASE WHEN ob > 1 THEN 'split' WHEN oa > 1 THEN 'merged' WHEN q < 0.8 THEN 'materially_changed' ELSE 'unchanged' END AS change FROM w) WHERE change <> 'unchanged'
-UNION ALL SELECT before_id, NULL, 'removed' FROM nb WHERE before_id NOT IN (SELECT before_id FROM r) UNION ALL SELECT NULL, after_id, 'created' FROM na WHERE after_id NOT IN (SELECT after_id FROM r)""",
+w AS (SELECT *, count(*) OVER (PARTITION BY before_id) AS ob, count(*) OVER (PARTITION BY after_id) AS oa FROM r),
+c AS (SELECT 'split' AS change, before_id AS before_ids, string_agg(after_id, ',' ORDER BY after_id) AS after_ids, max(q) AS overlap FROM w WHERE ob > 1 GROUP BY before_id
+  UNION ALL SELECT 'merged', string_agg(before_id, ',' ORDER BY before_id), after_id, max(q) FROM w WHERE oa > 1 GROUP BY after_id UNION ALL SELECT 'materially_changed', before_id, after_id, q FROM w WHERE ob = 1 AND oa = 1 AND q < 0.8
+  UNION ALL SELECT 'removed', before_id, '', 0 FROM nb WHERE before_id NOT IN (SELECT before_id FROM r) UNION ALL SELECT 'created', '', after_id, 0 FROM na WHERE after_id NOT IN (SELECT after_id FROM r))
+SELECT change, before_ids, after_ids, round(CAST(overlap AS DOUBLE), 6) AS overlap FROM c""",
 }
 ORACLE_SQL["community_list"] = ORACLE_SQL["community_metrics"].replace("SELECT community_id, size, round(coalesce(cohesion", "SELECT * FROM (SELECT community_id, size, round(coalesce(cohesion", 1).split(", round(coalesce(coupling")[0] + " FROM z LEFT JOIN own USING (community_id)) ORDER BY size DESC, cohesion DESC, community_id LIMIT 5"

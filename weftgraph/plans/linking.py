@@ -148,7 +148,7 @@ def event_delivery_projection(spark, sf):
 def event_channel_resolution(spark, sf):
     e = G.table(spark, sf, "events")
     broker = F.element_at(F.array(F.lit("kafka"), F.lit("generic"), F.lit("nats")), (F.col("event_id") % 3 + 1).cast("int"))
-    ends = e.where("event_id % 10 = 0").select(_s("event_id").alias("endpoint"), F.col("event_type").alias("channel"), broker.alias("broker"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("ns"), _s(F.col("user_id") % 2))).alias("namespace"))
+    ends = e.select(_s("event_id").alias("endpoint"), F.col("event_type").alias("channel"), broker.alias("broker"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("ns"), _s(F.col("user_id") % 2))).alias("namespace"))
     d = e.select("event_type").distinct().select(F.col("event_type").alias("channel"), F.explode(F.array(
         F.struct(F.lit("kafka").alias("broker"), F.lit("ns0").alias("namespace"), F.lit("k0").alias("i")), F.struct(F.lit("kafka").alias("broker"), F.lit("ns1").alias("namespace"), F.lit("k1").alias("i")),
         F.struct(F.lit("nats").alias("broker"), F.lit(None).cast("string").alias("namespace"), F.lit("n").alias("i")))).alias("x"))
@@ -166,15 +166,15 @@ def exactly_one_link(spark, sf):
 
 
 def package_owner_link(spark, sf):
-    lines = G.table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").join(G.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(G.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    deps = lines.select(F.concat(F.lit("nation-"), _s("c_nationkey")).alias("source_repo"), _s("l_partkey").alias("package"))
-    owners = G.table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").join(G.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(_s("l_partkey").alias("package"), F.concat(F.lit("nation-"), _s("s_nationkey")).alias("repo_id")).distinct()
+    lines = G.table(spark, sf, "lineitem").join(G.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(G.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    deps = lines.select(F.concat(F.lit("nation-"), _s("c_nationkey")).alias("source_repo"), F.concat_ws(":", "l_partkey", "l_linenumber").alias("package"))
+    owners = G.table(spark, sf, "lineitem").join(G.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat_ws(":", "l_partkey", "l_linenumber").alias("package"), F.concat(F.lit("nation-"), _s("s_nationkey")).alias("repo_id")).distinct()
     return L.package_owner_links(deps, owners)
 
 
 def table_alias_link(spark, sf):
     t = G.table(spark, sf, "customer").select(F.concat(F.lit("table:"), _s("c_custkey")).alias("id"), F.concat(F.lit("db"), _s(F.col("c_nationkey") % 3)).alias("db"), F.lower("c_mktsegment").alias("schema"), F.concat(F.lit("t"), _s(F.col("c_custkey") % 400)).alias("name"))
-    refs = G.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("order:"), _s("o_orderkey")).alias("order_id"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("T"), _s(F.col("o_custkey") % 500))).otherwise(
+    refs = G.table(spark, sf, "orders").select(F.concat(F.lit("order:"), _s("o_orderkey")).alias("order_id"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("T"), _s(F.col("o_custkey") % 500))).otherwise(
         F.concat(F.lit("db0."), F.lower(F.regexp_extract("o_orderpriority", "[A-Z]+", 0)), F.lit(".t"), _s(F.col("o_custkey") % 400))).alias("reference"))
     return L.resolved_tables(refs, t)
 
@@ -191,10 +191,10 @@ def foreign_key_pairs(spark, sf):
 
 
 def _migrations(spark, sf):
-    n = G.table(spark, sf, "orders").where("o_orderkey % 7 = 0")
+    n = G.table(spark, sf, "orders")
     return n.select(
         _s("o_orderkey").alias("id"), F.concat(F.lit("nation-"), _s(F.col("o_custkey") % 25)).alias("repo_id"), F.concat(F.lit("migrations/"), _s(F.col("o_orderkey") % 5)).alias("directory"),
-        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey") % 60).alias("order_hint"), _s(F.col("o_custkey") % 90).alias("family"), F.when(F.col("o_orderkey") % 2 == 0, "up").otherwise("down").alias("direction"))
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 997).alias("order_hint"), _s("o_custkey").alias("family"), F.when(F.col("o_orderkey") % 2 == 0, "up").otherwise("down").alias("direction"))
 
 
 def migration_lineage(spark, sf):
@@ -211,23 +211,23 @@ def path_containment(spark, sf):
 
 def _manual(spark, sf):
     s = G.table(spark, sf, "supplier")
-    add = s.where("s_suppkey % 9 = 0").select(F.concat(F.lit("a"), _s("s_suppkey")).alias("link"), F.lit("add").alias("action"), F.concat(F.lit("supplier:"), _s("s_suppkey")).alias("source"), F.concat(F.lit("supplier:"), _s(F.col("s_suppkey") + 1)).alias("target"), F.lit("consumes").alias("kind"))
-    cut = s.where("s_suppkey % 5 = 0").select(F.concat(F.lit("s"), _s("s_suppkey")).alias("link"), F.lit("suppress").alias("action"), F.concat(F.lit("repository:nation-"), _s("s_nationkey")).alias("source"), F.concat(F.lit("supplier:"), _s("s_suppkey")).alias("target"), F.when(F.col("s_suppkey") % 10 == 0, "contains").otherwise("documents").alias("kind"))
+    add = s.select(F.concat(F.lit("a"), _s("s_suppkey")).alias("link"), F.lit("add").alias("action"), F.concat(F.lit("supplier:"), _s("s_suppkey")).alias("source"), F.concat(F.lit("supplier:"), _s(F.col("s_suppkey") + 1)).alias("target"), F.lit("consumes").alias("kind"))
+    cut = s.select(F.concat(F.lit("s"), _s("s_suppkey")).alias("link"), F.lit("suppress").alias("action"), F.concat(F.lit("repository:nation-"), _s("s_nationkey")).alias("source"), F.concat(F.lit("supplier:"), _s("s_suppkey")).alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "contains").otherwise("documents").alias("kind"))
     return add.unionByName(cut)
 
 
 def manual_link_overlay(spark, sf):
-    nodes, edges = G.nodes(spark, sf, ("service", "repository")), G.edges(spark, sf, ("contains",)).where("target like 'supplier:%'")
+    nodes, edges = G.nodes(spark, sf, ("service", "repository", "symbol_ref")), G.edges(spark, sf, ("contains",))
     return L.manual_overlay(edges, nodes, _manual(spark, sf))[0].select("id", "source", "target", "kind", F.array_join("evidence", ",").alias("evidence"))
 
 
 def manual_link_problems(spark, sf):
-    nodes, edges = G.nodes(spark, sf, ("service", "repository")), G.edges(spark, sf, ("contains",)).where("target like 'supplier:%'")
+    nodes, edges = G.nodes(spark, sf, ("service", "repository", "symbol_ref")), G.edges(spark, sf, ("contains",))
     return L.manual_overlay(edges, nodes, _manual(spark, sf))[1]
 
 
 def edge_consensus_merge(spark, sf):
-    lines = G.table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    lines = G.table(spark, sf, "lineitem")
     e = lines.select(
         F.concat_ws(">", F.concat(F.lit("order:"), _s("l_orderkey")), F.lit("calls_remote"), F.concat(F.lit("supplier:"), _s("l_suppkey"))).alias("id"), F.concat(F.lit("order:"), _s("l_orderkey")).alias("source"), F.concat(F.lit("supplier:"), _s("l_suppkey")).alias("target"),
         F.lit("calls_remote").alias("kind"), ((100 - 5 * F.round(F.col("l_discount") * 100)) / 100).cast("float").alias("confidence"), F.array(F.concat(F.lit("line:"), _s("l_linenumber"))).alias("evidence"))
@@ -330,22 +330,22 @@ y AS (SELECT *, list_concat(CASE WHEN f1 = f2 THEN [f1] ELSE [f1, f2] END, list_
 SELECT 'channel:' || event_type AS channel_id, event_type AS channel_label, namespaced, a AS publisher_repository, b AS subscriber_repository,
   ['confirmed', 'inferred', 'ambiguous', 'stale', 'incomplete'][CASE WHEN namespaced THEN s ELSE greatest(s, 3) END] AS status, round(CAST(CASE WHEN namespaced THEN c ELSE least(c, CAST(0.5 AS FLOAT)) END AS DOUBLE), 6) AS confidence,
   array_to_string(u[1:16], ',') AS evidence, len(u) > 16 AS evidence_truncated FROM y""",
-    "event_channel_resolution": """WITH e AS (SELECT event_id, event_type AS channel, ['kafka', 'generic', 'nats'][CAST(event_id % 3 + 1 AS INT)] AS broker, CASE WHEN event_id % 4 = 0 THEN 'ns' || (user_id % 2) END AS namespace FROM events WHERE event_id % 10 = 0),
+    "event_channel_resolution": """WITH e AS (SELECT event_id, event_type AS channel, ['kafka', 'generic', 'nats'][CAST(event_id % 3 + 1 AS INT)] AS broker, CASE WHEN event_id % 4 = 0 THEN 'ns' || (user_id % 2) END AS namespace FROM events),
 d AS (SELECT * FROM (VALUES ('kafka', 'ns0', 'k0'), ('kafka', 'ns1', 'k1'), ('nats', NULL, 'n')) AS t(b, n, i)),
 m AS (SELECT event_id, count(DISTINCT i) AS c, min(i) AS i FROM e JOIN d ON (broker = b OR broker = 'generic') AND (namespace IS NULL OR n IS NULL OR namespace = n) GROUP BY 1)
 SELECT CAST(e.event_id AS VARCHAR) AS endpoint, CASE WHEN c = 1 THEN channel || ':' || i ELSE 'event:' || broker || ':' || coalesce(namespace, '') || ':' || channel END AS channel_id FROM e LEFT JOIN m USING (event_id)""",
     "exactly_one_link": "SELECT p_brand || '|' || p_type || '|' || p_size AS field, min(CAST(p_partkey AS VARCHAR)) AS id FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1",
-    "package_owner_link": """WITH o AS (SELECT l_partkey, min(s_nationkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 20 = 0 GROUP BY 1 HAVING count(DISTINCT s_nationkey) = 1)
-SELECT DISTINCT 'nation-' || c_nationkey AS source_repo, 'nation-' || n AS target_repo, CAST(o.l_partkey AS VARCHAR) AS package FROM lineitem AS l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN o ON o.l_partkey = l.l_partkey WHERE l_orderkey % 20 = 0 AND c_nationkey <> n""",
+    "package_owner_link": """WITH o AS (SELECT l_partkey || ':' || l_linenumber AS package, min(s_nationkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(DISTINCT s_nationkey) = 1)
+SELECT DISTINCT 'nation-' || c_nationkey AS source_repo, 'nation-' || n AS target_repo, o.package FROM lineitem AS l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN o ON o.package = l.l_partkey || ':' || l.l_linenumber WHERE c_nationkey <> n""",
     "table_alias_link": """WITH t AS (SELECT 'table:' || c_custkey AS id, 'db' || (c_nationkey % 3) AS db, lower(c_mktsegment) AS s, 't' || (c_custkey % 400) AS n FROM customer),
 a AS (SELECT DISTINCT unnest([id, n, s || '.' || n, db || '.' || n, db || '.' || s || '.' || n]) AS alias, id FROM t),
 u AS (SELECT alias, min(id) AS id FROM a GROUP BY alias HAVING count(DISTINCT id) = 1),
-r AS (SELECT 'order:' || o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN 'T' || (o_custkey % 500) ELSE 'db0.' || lower(regexp_extract(o_orderpriority, '[A-Z]+')) || '.t' || (o_custkey % 400) END AS reference FROM orders WHERE o_orderkey % 5 = 0)
+r AS (SELECT 'order:' || o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN 'T' || (o_custkey % 500) ELSE 'db0.' || lower(regexp_extract(o_orderpriority, '[A-Z]+')) || '.t' || (o_custkey % 400) END AS reference FROM orders)
 SELECT order_id, reference, u.id AS table_id FROM r LEFT JOIN u ON lower(reference) = alias""",
     "foreign_key_pairs": """WITH k AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation)
 SELECT 'fk' || k AS fk, 't' || k AS source, 't' || r AS target FROM k WHERE k % 3 = 0
 UNION ALL SELECT 'fk' || k, 't' || k || '.c' || i, 't' || r || '.c' || i FROM (SELECT k, r, unnest(range(0, k % 2 + 1)) AS i FROM k WHERE k % 3 <> 0 AND k % 4 >= k % 2 AND r % 4 >= k % 2)""",
-    "migration_lineage": """WITH m AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey % 25 AS repo, o_orderkey % 5 AS dir, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 60 END AS hint, o_custkey % 90 AS family, o_orderkey % 2 = 0 AS up FROM orders WHERE o_orderkey % 7 = 0),
+    "migration_lineage": """WITH m AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey % 25 AS repo, o_orderkey % 5 AS dir, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 997 END AS hint, o_custkey AS family, o_orderkey % 2 = 0 AS up FROM orders),
 h AS (SELECT repo, dir, hint, count(*) AS n, min(id) AS id FROM m WHERE up AND hint IS NOT NULL GROUP BY ALL),
 l AS (SELECT id, n, lead(id) OVER w AS t, lead(n) OVER w AS m FROM h WINDOW w AS (PARTITION BY repo, dir ORDER BY hint))
 SELECT id AS source, t AS target, 'precedes' AS kind FROM l WHERE n = 1 AND m = 1
@@ -353,12 +353,12 @@ UNION ALL SELECT min(id) FILTER (NOT up), min(id) FILTER (up), 'reverts' FROM m
     "path_containment": f"""WITH {G.GRAPH}, a AS (SELECT DISTINCT repo_id, 'src/' || regexp_extract(file_path, '_([0-9]+)', 1) || '/' || file_path AS path FROM evidence)
 SELECT 'r' || n_nationkey AS reference, repo_id || ':' || path AS artifact FROM nation JOIN a ON repo_id = 'nation-' || n_nationkey AND starts_with(path, 'src/' || n_nationkey || '/')
 UNION ALL SELECT 'f' || n_nationkey, repo_id || ':' || path FROM nation JOIN a ON repo_id = 'nation-' || n_nationkey AND path = 'src/' || n_nationkey || '/src/customer_' || n_nationkey || '.py'""",
-    "manual_link_overlay": """WITH e AS (SELECT 'nation:' || s_nationkey AS source, 'supplier:' || s_suppkey AS target, 'contains' AS kind FROM supplier WHERE s_suppkey % 10 <> 0)
+    "manual_link_overlay": """WITH e AS (SELECT 'nation:' || s_nationkey AS source, 'supplier:' || s_suppkey AS target, 'contains' AS kind FROM supplier WHERE s_suppkey % 2 <> 0 UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'contains' FROM customer)
 SELECT source || '>' || kind || '>' || target AS id, source, target, kind, 'ev:' || source || '>' || kind || '>' || target AS evidence FROM e
-UNION ALL SELECT 'supplier:' || s.s_suppkey || '>consumes>supplier:' || t.s_suppkey, 'supplier:' || s.s_suppkey, 'supplier:' || t.s_suppkey, 'consumes', 'manual:a' || s.s_suppkey FROM supplier AS s JOIN supplier AS t ON t.s_suppkey = s.s_suppkey + 1 WHERE s.s_suppkey % 9 = 0""",
-    "manual_link_problems": """SELECT 'a' || s_suppkey AS link, 'missing_endpoint' AS problem FROM supplier WHERE s_suppkey % 9 = 0 AND s_suppkey + 1 NOT IN (SELECT s_suppkey FROM supplier)
-UNION ALL SELECT 's' || s_suppkey, 'missing_suppression' FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 10 <> 0""",
-    "edge_consensus_merge": """WITH g AS (SELECT l_orderkey, l_suppkey, max(CAST((100 - 5 * round(l_discount * 100)) / 100 AS FLOAT)) AS c, string_agg(DISTINCT 'line:' || l_linenumber, ',' ORDER BY 'line:' || l_linenumber) AS evidence FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL)
+UNION ALL SELECT 'supplier:' || s.s_suppkey || '>consumes>supplier:' || t.s_suppkey, 'supplier:' || s.s_suppkey, 'supplier:' || t.s_suppkey, 'consumes', 'manual:a' || s.s_suppkey FROM supplier AS s JOIN supplier AS t ON t.s_suppkey = s.s_suppkey + 1""",
+    "manual_link_problems": """SELECT 'a' || s_suppkey AS link, 'missing_endpoint' AS problem FROM supplier WHERE s_suppkey + 1 NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 's' || s_suppkey, 'missing_suppression' FROM supplier WHERE s_suppkey % 2 <> 0""",
+    "edge_consensus_merge": """WITH g AS (SELECT l_orderkey, l_suppkey, max(CAST((100 - 5 * round(l_discount * 100)) / 100 AS FLOAT)) AS c, string_agg(DISTINCT 'line:' || l_linenumber, ',' ORDER BY 'line:' || l_linenumber) AS evidence FROM lineitem GROUP BY ALL)
 SELECT 'order:' || l_orderkey || '>calls_remote>supplier:' || l_suppkey AS id, 'order:' || l_orderkey AS source, 'supplier:' || l_suppkey AS target, 'calls_remote' AS kind, round(CAST(c AS DOUBLE), 6) AS confidence, evidence, CASE WHEN c >= 1 THEN 'confirmed' ELSE 'inferred' END AS status FROM g""",
     "graph_assembly": f"WITH {G.GRAPH} SELECT id, kind, repo_id, stable_key, label || CASE WHEN CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) % 3 = 0 THEN ' (later)' ELSE '' END AS label FROM nodes WHERE kind IN ('service', 'symbol_ref')",
     "graph_validation": f"WITH {G.GRAPH} SELECT 'dangling_target' AS problem, id FROM edges WHERE kind = 'calls_remote' AND CAST(regexp_extract(target, '[0-9]+$') AS BIGINT) % 7 = 0",
