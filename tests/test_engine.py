@@ -107,10 +107,14 @@ def test_impact_has_no_structural_pivot(spark):
 def test_risk_without_coverage_has_no_number(spark):
     nodes, edges = graph(spark, [("direct", "contract"), ("transitive", "direct")])
     items = impact.impact(nodes, edges, "contract")
-    factors = impact.risk_factors(items, "repo-c", n_tests=0, n_owners=0, tags=spark.createDataFrame([("direct", "security"), ("direct", "payment")], "node_id string, tag string"))
+    factors = impact.risk_factors(items, "repo-c", n_tests=0, n_owners=0, tags=spark.createDataFrame([("direct", "security", ["ev"]), ("direct", "payment", [])], "node_id string, tag string, evidence array<string>"))
     assert impact.risk_score(factors, False).first().score is None
     r = impact.risk_score(factors, True).first()
     assert r.level == "critical" and r.score == 100.0
+    bare = impact.risk_factors(items, "repo-c", n_tests=0, n_owners=0, tags=spark.createDataFrame([("direct", "security", []), ("contract", "payment", ["ev"])], "node_id string, tag string, evidence array<string>"))
+    assert impact.risk_score(bare, True).first().level == "high"  # no evidence behind the tag; the target is not named
+    own = impact.coverage(items.limit(0), spark.createDataFrame([("repo-c", "commits_behind")], "repo_id string, state string"), "repo-c").first()
+    assert own.stale == 1 and not own.sufficient_for_score and own.gaps == ["repositories_stale"]
 
 
 def test_exactly_one(spark):
@@ -183,6 +187,11 @@ def test_search_absence_and_bounds(spark):
     r = search.search(nodes, "alpha").first()
     assert (r.id, r.lexical, r.total, r.truncated) == ("alpha", 4.0, 1, False)
     assert search.query_terms("A-b a " * 40) == ["a", "b"]
+    twice, _ = graph(spark, [("log log", "log")])
+    assert search.search(twice, "Log  LOG").orderBy("id").first().lexical == 4.0
+    for query, page in (("?!", {}), ("a", {"limit": 0}), ("a", {"limit": 101}), ("a", {"offset": -1})):
+        with pytest.raises(ValueError):
+            search.search(nodes, query, **page)
 
 
 def test_export_keeps_whole_edges(spark, tmp_path):
@@ -249,3 +258,46 @@ def test_watch_runs_targeted_passes(spark, tmp_path):
     q = watch.watch(spark, str(tmp_path / "in"), lambda scope, repos: seen.append((scope, list(repos))), str(tmp_path / "cp"), once=True)
     q.awaitTermination(60)
     assert seen == [("repositories", ["one"])]
+
+
+def test_watch_passes_wait_and_coalesce(spark):
+    from weftgraph.streaming import watch
+
+    runs = lambda at, **kw: [tuple(r) for r in watch.due(spark.createDataFrame([(x,) for x in at], "window_start long"), 8, **kw).orderBy("window_start").select("runs_at", "outcome").collect()]
+    assert [r for r, _ in runs([0, 5, 10, 15])] == [0, 8, 16, 24]
+    assert [r for r, _ in runs([0, 5, 6, 7, 40])] == [0, 8, 16, 16, 40]
+    assert runs([0, 50, 51], idle_timeout=30) == [(0, "runs"), (None, "expired_idle"), (None, "expired_idle")]
+    assert runs([0, 5, 10], session_limit=16) == [(0, "runs"), (8, "runs"), (None, "expired_session")]
+
+
+def test_long_runs_are_cut_anew(spark):
+    from weftgraph.streaming import watch
+
+    at = [*range(0, 10), *range(11, 21), 22]
+    e = spark.createDataFrame([("r", t) for t in at], "repo_id string, t long").selectExpr("repo_id", "timestamp_seconds(t) as ts")
+    assert sorted(tuple(r)[1:] for r in watch.debounce_sessions(e).collect()) == [(0, 9, 10), (11, 20, 10), (22, 22, 1)]
+
+
+def test_a_pair_in_a_split_and_a_merge(spark):
+    before = spark.createDataFrame([("b1", f"n{i}") for i in range(8)] + [("b2", f"m{i}") for i in range(4)], "community_id string, node_id string")
+    after = spark.createDataFrame([("a1", f"n{i}") for i in range(4)] + [("a1", f"m{i}") for i in range(4)] + [("a2", f"n{i}") for i in range(4, 8)], "community_id string, node_id string")
+    got = sorted((r.change, r.before, r.after) for r in communities.delta(before, after).collect())
+    assert got == [("merged", ["b1", "b2"], ["a1"]), ("split", ["b1"], ["a1", "a2"])]
+
+
+def test_equal_weights_are_chosen_by_nodes(spark):
+    nodes, edges = graph(spark, [("s", "b"), ("b", "t"), ("s", "c"), ("c", "a"), ("a", "t"), ("s", "t", "consumes", 0.5)])
+    got = traverse.k_best(traverse.paths(nodes, edges, "s", max_cross=9), 1).where("node = 't'").first()
+    assert got.nodes == ["s", "b", "t"]
+    for only, pick in (("shortest", traverse.shortest), ("lightest", traverse.k_best)):
+        all_ = {r.node: (r.depth, r.edge_ids) for r in pick(traverse.paths(nodes, edges, "s", max_cross=9)).collect()}
+        assert all_ == {r.node: (r.depth, r.edge_ids) for r in pick(traverse.paths(nodes, edges, "s", max_cross=9, only=only)).collect()}
+
+
+def test_commit_verdicts(spark):
+    f = spark.createDataFrame([("a", "staged"), ("a", "unstaged"), ("d/x", "untracked"), ("b", "unstaged")], "path string, layer string")
+    verdict = lambda mode, paths=(): tuple(changes.commit_verdict(changes.commit_gate(f, mode, paths), mode).first())
+    assert verdict("default") == (True, []) and verdict("include", ["a"]) == (True, [])
+    assert verdict("only", ["a"]) == (False, ["ambiguous_layers"]) and verdict("only", ["d"]) == (True, []) and verdict("only", ["z"]) == (False, ["nothing_selected"])
+    with pytest.raises(ValueError):
+        changes.commit_gate(f, "only", ["--all"])

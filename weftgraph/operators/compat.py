@@ -147,8 +147,10 @@ def database(before: DataFrame, after: DataFrame, extras: tuple[DataFrame, DataF
     """Columns (table, column, type, nullable, has_default, primary_key, unique), extras (table, kind, name) of kinds index and
     foreign_key, and documents (document, incomplete, revision, down_revision), one for each file that declares a migration.
 
-    Types and nullability that are null on one side are unknown.  Tables and columns that are new are no findings.
+    Types and nullability that are null on one side are unknown.  Tables and columns that are new are no findings.  Columns without
+    ``unique`` are taken as not unique.
     """
+    before, after = (x if "unique" in x.columns else x.withColumn("unique", F.lit(False)) for x in (before, after))
     tables = both_sides(*(df.select("table").distinct().withColumn("one", F.lit(1)) for df in (before, after)), ["table"])
     t = findings(tables, F.col("table"), [("database.table_removed", "breaking", _gone())])
     both = tables.where(_both()).select("table")

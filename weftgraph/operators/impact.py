@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql.window import Window
 from ..model import IMPACT_CONTRACTS, NOT_PROPAGATING
 from ..sources.shared import written
 
+#: States of freshness that are behind, but known.
+BEHIND = ("working_tree_changed", "commits_behind", "config_changed", "extractor_changed", "provider_stale")
 CLASSES = ("directly_dependent", "transitively_affected", "possibly_affected", "unknown_due_to_coverage")
 
 
@@ -38,10 +41,10 @@ def impact(nodes: DataFrame, edges: DataFrame, target: str, *, direction: str =
     e = edges.where(~F.col("kind").isin(list(NOT_PROPAGATING))).withColumn("sure", certainty(confirmed_confidence))
     down = e.select(F.col("source").alias("node"), F.col("target").alias("next"), "id", "kind", "sure", F.lit(False).alias("reversed"))
     up = e.select(F.col("target").alias("node"), F.col("source").alias("next"), "id", "kind", "sure", F.lit(True).alias("reversed"))
-    a = {"downstream": down, "upstream": up}.get(direction) or down.unionByName(up)
+    a = written({"downstream": down, "upstream": up}.get(direction) or down.unionByName(up), "adjacency")  # every round reads it
     state = "node string, sure int, depth int, path array<string>, visited array<string>, last_contains boolean, last_reversed boolean"
     frontier = spark.createDataFrame([(target, 0, 0, [], [target], False, False)], state)
-    best = written(frontier.select("node", "sure", "depth", "path"), "impact")
+    best = [frontier.select("node", "sure", "depth", "path")]  # what improved, round by round; the least counts
     for _ in range(max_depth + 32):
         if frontier.isEmpty():
             break
@@ -51,11 +54,12 @@ def impact(nodes: DataFrame, edges: DataFrame, target: str, *, direction: str =
             F.col("next").alias("node"), F.greatest("so_far", "sure").alias("sure"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("id")).alias("path"),
             F.concat("visited", F.array("next")).alias("visited"), (F.col("kind") == "contains").alias("last_contains"), F.col("reversed").alias("last_reversed"))
         s = s.groupBy("node").agg(F.min(F.struct("sure", "depth", "path", "visited", "last_contains", "last_reversed")).alias("x")).select("node", "x.*")
-        old = best.select("node", F.col("sure").alias("_s"), F.col("depth").alias("_d"))
+        old = reduce(DataFrame.unionByName, best).groupBy("node").agg(F.min(F.struct("sure", "depth")).alias("x")).select("node", F.col("x.sure").alias("_s"), F.col("x.depth").alias("_d"))
         better = s.join(old, "node", "left").where(F.col("_s").isNull() | (F.struct("sure", "depth") < F.struct(F.col("_s").alias("sure"), F.col("_d").alias("depth")))).drop("_s", "_d")
         frontier = written(better, "impact")
-        best = written(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier.select(best.columns)), "impact")
-    out = best.where(F.col("node") != target).withColumnRenamed("node", "id").join(nodes, "id")
+        best.append(frontier.select("node", "sure", "depth", "path"))
+    found = reduce(DataFrame.unionByName, best).groupBy("node").agg(F.min(F.struct("sure", "depth", "path")).alias("x")).select("node", "x.*")
+    out = found.where(F.col("node") != target).withColumnRenamed("node", "id").join(nodes, "id")
     return out.select("id", "kind", "repo_id", "stable_key", "label", classification(F.col("sure"), F.col("depth")).alias("classification"), "depth", "path")
 
 
@@ -101,12 +105,23 @@ def worst_freshness(rows: DataFrame, severity: Column) -> DataFrame:
     return rows.groupBy("repo_id").agg(F.max_by("state", F.struct(severity.alias("s"), (-F.col("seq")).alias("o"))).alias("state"))
 
 
-def coverage(items: DataFrame, freshness: DataFrame, possible_edges: int = 0, unknown_edges: int = 0) -> DataFrame:
-    """One row: how many repositories are fresh, stale or unknown, and whether a number may be given."""
-    r = items.select("repo_id").where("repo_id is not null").distinct().join(freshness, "repo_id", "left")
-    stale = F.count_if(F.col("state").isNotNull() & (F.col("state") != "fresh"))
-    out = r.agg(F.count_if(F.col("state") == "fresh").alias("fresh"), stale.alias("stale"), F.count_if(F.col("state").isNull()).alias("unknown"))
-    return out.withColumn("sufficient_for_score", (F.col("stale") == 0) & (F.col("unknown") == 0) & F.lit(unknown_edges == 0))
+def coverage(
+    items: DataFrame, freshness: DataFrame, target_repo: str | None = None, *, possible_edges: int = 0, unknown_edges: int = 0, graph_complete: bool = True, unknown_compatibility: int = 0, gaps: Sequence[str] = (),
+) -> DataFrame:
+    """One row: how many of the repositories of the items and the target are fresh, stale, partial, unavailable or missing, the gaps, and
+    whether a number may be given.  possible_edges tell of a gap that does not take the number away.
+    """
+    r = items.select("repo_id")
+    if target_repo is not None:
+        r = r.unionByName(items.sparkSession.createDataFrame([(target_repo,)], "repo_id string"))
+    r = r.where("repo_id is not null").distinct().join(freshness.select("repo_id", "state"), "repo_id", "left")
+    group = (F.when(F.col("state") == "fresh", "fresh").when(F.col("state").isin(*BEHIND), "stale").when(F.col("state") == "partial", "partial").when(F.col("state").isin("unavailable", "corrupt"), "unavailable").otherwise("missing"))
+    names = ("fresh", "stale", "partial", "unavailable", "missing")
+    out = r.select(group.alias("g")).agg(*(F.count_if(F.col("g") == g).alias(g) for g in names))
+    told = [F.lit(g) for g in gaps] + ([] if graph_complete else [F.lit("graph_incomplete")]) + [F.when(F.col(g) > 0, f"repositories_{g}") for g in names[1:]]
+    told += [F.lit("possible_relationships")] * (possible_edges > 0) + [F.lit("unknown_relationships")] * (unknown_edges > 0) + [F.lit("compatibility_unknown")] * (unknown_compatibility > 0)
+    sure = F.lit(graph_complete and not unknown_edges and not unknown_compatibility and not gaps)
+    return out.withColumn("gaps", F.array_compact(F.array(*told))).withColumn("sufficient_for_score", sure & (F.col("stale") + F.col("partial") + F.col("unavailable") + F.col("missing") == 0))
 
 
 #: Weight for each tag that makes a node critical.
@@ -115,14 +130,17 @@ EXPLICIT = ("critical_tag", "security_tag", "payment_tag", "data_boundary_tag")
 
 
 def risk_factors(
-    items: DataFrame, target_repo: str | None = None, *, services: DataFrame | None = None, communities: DataFrame | None = None, public: int = 0, compatibility: DataFrame | None = None, centrality: float = 0.0,
+    items: DataFrame, target_repo: str | None = None, *, target_id: str | None = None, services: DataFrame | None = None, communities: DataFrame | None = None, public: int = 0, compatibility: DataFrame | None = None, centrality: float = 0.0,
     tags: DataFrame | None = None, n_tests: int | None = None, n_owners: int | None = None, environments: int = 0,
 ) -> DataFrame:
-    """(code, weight): what adds to the risk, each bounded.
+    """(code, weight, backed): what adds to the risk, each bounded; backed: whether evidence stands behind a tag.
 
     services(service_id): reached ones; communities(community_id, coupling): reached ones; compatibility(node_id, status);
-    tags(node_id, tag).
+    tags(node_id, tag, evidence array<string>): each one adds; target_id: the changed node, whose own tags and reports count.
     """
+    ids = items.select(F.col("id").alias("node_id"))
+    if target_id is not None:
+        ids = ids.unionByName(items.sparkSession.createDataFrame([(target_id,)], "node_id string")).distinct()
     spark = items.sparkSession
     count = lambda cond: F.count_if(cond)
     repos = F.count_distinct(F.coalesce("repo_id", F.lit(target_repo))) if target_repo is None else F.size(F.array_distinct(F.array_append(F.collect_set("repo_id"), F.lit(target_repo))))
@@ -138,22 +156,23 @@ def risk_factors(
     if communities is not None:
         frames.append(communities.agg(F.least(F.count_if(F.col("coupling") > 0) * 3.0, F.lit(9.0)).alias("weight")).select(F.lit("community_process_fanout").alias("code"), "weight"))
     if compatibility is not None:
-        hit = compatibility.join(items.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+        hit = compatibility.join(ids, "node_id", "left_semi")
         frames.append(hit.select(F.when(F.col("status") == "breaking", "breaking_compatibility").when(F.col("status") == "potentially_breaking", "potential_compatibility").alias("code"),
                                  F.when(F.col("status") == "breaking", 30.0).when(F.col("status") == "potentially_breaking", 18.0).otherwise(0.0).alias("weight")))
     if tags is not None:
         weight = F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv))
-        hit = tags.join(items.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("tag").distinct()
-        frames.append(hit.select(F.concat("tag", F.lit("_tag")).alias("code"), F.coalesce(weight[F.col("tag")], F.lit(0.0)).alias("weight")))
+        hit = tags.join(ids, "node_id", "left_semi")
+        frames.append(hit.select(F.concat("tag", F.lit("_tag")).alias("code"), F.coalesce(weight[F.col("tag")], F.lit(0.0)).alias("weight"), (F.size("evidence") > 0).alias("backed")))
     fixed = [("public_contract", 12.0 if public > 0 else 0.0), ("centrality", centrality * 12.0 if centrality >= 0.75 else 0.0), ("cross_environment", 10.0 if environments > 1 else 0.0)]
     frames.append(spark.createDataFrame(fixed, "code string, weight double"))
+    frames = [f if "backed" in f.columns else f.withColumn("backed", F.lit(False)) for f in frames]
     return reduce(DataFrame.unionByName, frames).where("weight > 0")
 
 
 def risk_score(factors: DataFrame, sufficient: bool | Column) -> DataFrame:
-    """One row (score, level): 1 to 100, or no number where coverage does not allow one."""
+    """One row (score, level): 1 to 100, or no number where coverage does not allow one.  critical needs a tag with evidence."""
     ok = F.lit(sufficient) if isinstance(sufficient, bool) else sufficient
-    s = factors.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("s"), F.coalesce(F.bool_or(F.col("code").isin(*EXPLICIT)), F.lit(False)).alias("explicit"))
+    s = factors.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("s"), F.coalesce(F.bool_or(F.col("code").isin(*EXPLICIT) & F.col("backed")), F.lit(False)).alias("explicit"))
     s = s.withColumn("score", F.greatest(F.least("s", F.lit(100.0)), F.lit(1.0)))
     level = F.when(~ok, "unknown").when((F.col("score") >= 85) & F.col("explicit"), "critical").when(F.col("score") >= 50, "high").when(F.col("score") >= 25, "medium").otherwise("low")
     return s.select(level.alias("level"), F.when(ok, F.col("score")).alias("score"))

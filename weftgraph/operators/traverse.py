@@ -31,7 +31,7 @@ def adjacency(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
 def trace(edges: DataFrame, source: str, target: str, max_depth: int = 8) -> DataFrame:
     """(step, edge_id, source, target, kind): the first shortest path along outgoing edges of any status; no rows without one."""
     spark = edges.sparkSession
-    e = edges.select("source", F.col("id").alias("edge_id"), "target")
+    e = written(edges.select("source", F.col("id").alias("edge_id"), "target"), "adjacency")  # every level reads it
     frontier = spark.createDataFrame([(source, [])], "node string, path array<string>")
     seen = [frontier.select("node")]
     found = None
@@ -80,13 +80,19 @@ def edge_weight(costs: dict[str, float] | None = None) -> Column:
 
 def paths(
     nodes: DataFrame, edges: DataFrame, source: str, *, max_depth: int = 8, max_cross: int = 4, direction: str = "outgoing", kinds: Sequence[str] = (), min_confidence: float = 0.0,
-    costs: dict[str, float] | None = None,
+    costs: dict[str, float] | None = None, only: str | None = None,
 ) -> DataFrame:
-    """All loopless confirmed paths from a node within the bounds: (node, depth, weight, cross, nodes, edge_ids)."""
+    """All loopless confirmed paths from a node within the bounds: (node, depth, weight, cross, nodes, edge_ids).
+
+    These grow with every level.  only = "shortest" or "lightest" keeps what the first of the shortest or lightest path to any node
+    can go through: one state for each node, number of crossings and level.
+    """
+    # ties: shortest ones by edge ids, lightest ones by nodes, then edge ids
+    best_by = {None: (), "shortest": ("edge_ids",), "lightest": ("_weight", "nodes", "edge_ids")}[only]
     confirmed, _ = split_edges(edges, kinds, min_confidence)
     repo = nodes.select(F.col("id").alias("neighbor"), F.col("repo_id").alias("_r2"))
     a = adjacency(confirmed, direction).withColumn("w", edge_weight(costs)).select("node", "neighbor", F.col("id").alias("edge_id"), "w")
-    a = a.join(repo, "neighbor")  # an end that isn't among the nodes can't be entered
+    a = written(a.join(repo, "neighbor"), "adjacency")  # an end that isn't among the nodes can't be entered; every level reads it
     start = nodes.where(F.col("id") == source).select(
         F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(0.0).alias("weight"), F.lit(0).alias("cross"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.col("repo_id").alias("_r"))
     levels, now = [start], start
@@ -96,6 +102,13 @@ def paths(
         s = s.select(
             F.col("neighbor").alias("node"), (F.col("depth") + 1).alias("depth"), (F.col("weight") + F.col("w")).alias("weight"), (F.col("cross") + hop).alias("cross"),
             F.concat("nodes", F.array("neighbor")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("_r2").alias("_r")).where(F.col("cross") <= max_cross)
+        if only == "lightest":
+            s = s.withColumn("_weight", F.round("weight", 9))
+        if best_by:  # one state for each node and number of crossings, unless an earlier level has one that is as good
+            s = s.groupBy("node", "cross").agg(F.min(F.struct(*best_by, "depth", "weight", "_r", *(c for c in ("nodes", "edge_ids") if c not in best_by))).alias("x")).select("node", F.col("x.depth"), F.col("x.weight"), "cross", F.col("x.nodes"), F.col("x.edge_ids"), F.col("x._r"))
+            old = reduce(DataFrame.unionByName, levels).select("node", F.col("cross").alias("_c"), F.col("weight").alias("_w"))
+            worse = (F.col("_c") <= F.col("cross")) & (F.lit(True) if best_by[0] == "edge_ids" else F.col("_w") < F.col("weight") - 1e-9)
+            s = s.join(old.withColumnRenamed("node", "_n"), (F.col("node") == F.col("_n")) & worse, "left_anti")
         now = written(s, "paths")
         if now.isEmpty():
             break
@@ -110,9 +123,11 @@ def shortest(found: DataFrame) -> DataFrame:
 
 
 def k_best(found: DataFrame, k: int = 1) -> DataFrame:
-    """The k lightest paths to each node: by weight, length, edge ids, nodes."""
-    w = Window.partitionBy("node").orderBy(F.round("weight", 9), "depth", "edge_ids", "nodes")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= min(k, MOST_K))
+    """The k lightest paths to each node, chosen by weight, nodes and edge ids, and then put in order by weight, length and edge ids."""
+    weight = F.round("weight", 9)
+    w = Window.partitionBy("node").orderBy(weight, "nodes", "edge_ids")
+    chosen = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= min(k, MOST_K)).drop("_n")
+    return chosen.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(weight, "depth", "edge_ids", "nodes")))
 
 
 def deepest_layer(found: DataFrame) -> DataFrame:

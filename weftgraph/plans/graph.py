@@ -32,11 +32,11 @@ def trace_shortest(spark, sf):
 
 
 def traverse_bfs(spark, sf):
-    return T.shortest(_paths(spark, sf)).select("node", "depth", "cross", F.array_join("edge_ids", "|").alias("edge_ids"))
+    return T.shortest(_paths(spark, sf, only="shortest")).select("node", "depth", "cross", F.array_join("edge_ids", "|").alias("edge_ids"))
 
 
 def traverse_dijkstra(spark, sf):
-    return T.k_best(_paths(spark, sf, costs={"calls_remote": 2.0, "owned_by": 0.5}), 1).select("node", "depth", F.round("weight", 6).alias("weight"), F.array_join("edge_ids", "|").alias("edge_ids"))
+    return T.k_best(_paths(spark, sf, costs={"calls_remote": 2.0, "owned_by": 0.5}, only="lightest"), 1).select("node", "depth", F.round("weight", 6).alias("weight"), F.array_join("edge_ids", "|").alias("edge_ids"))
 
 
 def k_shortest_paths(spark, sf):
@@ -50,7 +50,7 @@ def traverse_candidates(spark, sf):
 
 
 def reachable_frontier(spark, sf):
-    return T.deepest_layer(_paths(spark, sf))
+    return T.deepest_layer(_paths(spark, sf, only="shortest"))
 
 
 def repository_ownership_closure(spark, sf):
@@ -107,13 +107,20 @@ def impact_tests(spark, sf):
 
 
 def impact_coverage(spark, sf):
-    return P.coverage(_items(spark, sf), G.freshness(spark, sf))
+    """The target's repository counts; one nation's freshness is not known."""
+    out = P.coverage(_items(spark, sf), G.freshness(spark, sf).where("repo_id <> 'nation-4'"), "nation-99", possible_edges=1)
+    return out.withColumn("gaps", F.array_join("gaps", ","))
+
+
+def _tags(spark):
+    """The changed service is tagged with and without evidence; a node that is not reached counts for nothing."""
+    return spark.createDataFrame([(SUPPLIER, "payment", []), (SUPPLIER, "authentication", ["policy"]), ("nowhere:1", "security", ["policy"])], "node_id string, tag string, evidence array<string>")
 
 
 def risk_factors(spark, sf):
     items = _items(spark, sf)
     nodes, edges = _tests(spark, sf)
-    return P.risk_factors(items, "nation-0", services=items.where("kind = 'service'").select(F.col("id").alias("service_id")), n_tests=P.tests(items, edges, nodes).count(), n_owners=0, environments=2, public=1).withColumn("weight", F.round("weight", 6))
+    return P.risk_factors(items, "nation-0", services=items.where("kind = 'service'").select(F.col("id").alias("service_id")), n_tests=P.tests(items, edges, nodes).count(), n_owners=0, environments=2, public=1, target_id=SUPPLIER, tags=_tags(spark)).withColumn("weight", F.round("weight", 6))
 
 
 def risk_score(spark, sf):
@@ -240,7 +247,7 @@ _FACTORS = f"""n AS (SELECT count(*) FILTER (c = 1) AS d, count(*) FILTER (c = 2
 factors AS (SELECT * FROM (
   SELECT 'direct_consumers' AS code, least(d * 4.0, 24) AS weight FROM n UNION ALL SELECT 'transitive_fanout', least(t * 1.5, 15) FROM n UNION ALL SELECT 'cross_repository_count', least((r - 1) * 4.0, 16) FROM n
   UNION ALL SELECT 'missing_tests', CASE WHEN tests = 0 AND n > 0 THEN 10.0 ELSE 0 END FROM n UNION ALL SELECT 'missing_owners', CASE WHEN n > 0 THEN 8.0 ELSE 0 END FROM n UNION ALL SELECT 'service_impact', least(s * 2.0, 10) FROM n
-  UNION ALL SELECT 'public_contract', 12.0 UNION ALL SELECT 'cross_environment', 10.0) WHERE weight > 0)"""
+  UNION ALL SELECT 'public_contract', 12.0 UNION ALL SELECT 'cross_environment', 10.0 UNION ALL SELECT 'payment_tag', 50.0 UNION ALL SELECT 'authentication_tag', 35.0) WHERE weight > 0)"""
 _SMALL = """small AS (SELECT source, target, kind, confidence AS f, CAST(confidence AS DOUBLE) AS confidence FROM edges WHERE status = 'confirmed'),
 sn AS (SELECT id, kind, stable_key, label FROM nodes WHERE kind <> 'document'), sm AS (SELECT * FROM memberships)"""
 _RANKED = """deg AS (SELECT node, count(DISTINCT o) AS degree FROM (SELECT source AS node, target AS o FROM small UNION ALL SELECT target, source FROM small) GROUP BY node),
@@ -276,8 +283,8 @@ best AS (SELECT ids FROM walk WHERE node = 'region:1' ORDER BY len(ids), ids LIM
 s AS (SELECT unnest(range(0, len(ids))) AS step, unnest(ids) AS edge_id FROM best)
 SELECT CAST(step AS INT) AS step, edge_id, source, target, kind FROM s JOIN e ON e.id = edge_id""",
     "traverse_bfs": f"WITH RECURSIVE {G.GRAPH}, {_walk()} SELECT node, depth, cross_ AS \"cross\", array_to_string(edge_ids, '|') AS edge_ids FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, edge_ids) AS n FROM found) WHERE n = 1",
-    "traverse_dijkstra": f"WITH RECURSIVE {G.GRAPH}, {_walk(chr(40) + 'CASE kind WHEN ' + chr(39) + 'calls_remote' + chr(39) + ' THEN 2.0 WHEN ' + chr(39) + 'owned_by' + chr(39) + ' THEN 0.5 ELSE 1.0 END)')} SELECT node, depth, round(weight, 6) AS weight, array_to_string(edge_ids, '|') AS edge_ids FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(weight, 9), depth, edge_ids, nodes) AS n FROM found) WHERE n = 1",
-    "k_shortest_paths": f"WITH RECURSIVE {G.GRAPH}, {_walk(least=0.6)} SELECT node, place, depth, round(weight, 6) AS weight, array_to_string(edge_ids, '|') AS edge_ids FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(weight, 9), depth, edge_ids, nodes) AS place FROM found) WHERE place <= 4",
+    "traverse_dijkstra": f"WITH RECURSIVE {G.GRAPH}, {_walk(chr(40) + 'CASE kind WHEN ' + chr(39) + 'calls_remote' + chr(39) + ' THEN 2.0 WHEN ' + chr(39) + 'owned_by' + chr(39) + ' THEN 0.5 ELSE 1.0 END)')} SELECT node, depth, round(weight, 6) AS weight, array_to_string(edge_ids, '|') AS edge_ids FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(weight, 9), nodes, edge_ids) AS n FROM found) WHERE n = 1",
+    "k_shortest_paths": f"WITH RECURSIVE {G.GRAPH}, {_walk(least=0.6)} SELECT node, row_number() OVER (PARTITION BY node ORDER BY round(weight, 9), depth, edge_ids, nodes) AS place, depth, round(weight, 6) AS weight, array_to_string(edge_ids, '|') AS edge_ids FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(weight, 9), nodes, edge_ids) AS n FROM found) WHERE n <= 4",
     "traverse_candidates": f"WITH {G.GRAPH} SELECT status, count(*) AS edges FROM edges WHERE kind = 'calls_remote' AND status <> 'confirmed' AND CAST(confidence AS DOUBLE) >= 0.55 GROUP BY status",
     "reachable_frontier": f"WITH RECURSIVE {G.GRAPH}, {_walk()}, near AS (SELECT node, min(depth) AS depth FROM found GROUP BY node) SELECT * FROM near WHERE depth = (SELECT max(depth) FROM near)",
     "repository_ownership_closure": f"""WITH RECURSIVE {G.GRAPH}, c AS (SELECT source AS parent, target AS child FROM edges WHERE status = 'confirmed' AND kind IN ('contains', 'consumes', 'calls_remote') AND (NOT starts_with(target, 'supplier:') OR starts_with(source, 'nation:'))),
@@ -292,9 +299,10 @@ SELECT service_id, min(depth) AS min_depth, count(*) AS items, {_NAMES}[min(c)]
     "impact_contracts": f"WITH RECURSIVE {G.GRAPH}, {_IMPACT} SELECT id, kind, stable_key, classification, depth FROM items WHERE kind = 'http_operation'",
     "impact_tests": f"""WITH RECURSIVE {G.GRAPH}, {_IMPACT}, {_TESTS}
 SELECT dense_rank() OVER (ORDER BY c, depth, test_key) AS rank, test_id, t.label, classification, depth, CASE WHEN ends_with(t.label, '.py') THEN 'pytest ' || t.label ELSE 'cargo test' END AS command FROM tests AS t JOIN items AS i ON i.id = t.id""",
-    "impact_coverage": f"""WITH RECURSIVE {G.GRAPH}, {_IMPACT}, r AS (SELECT x.repo_id, state FROM (SELECT DISTINCT repo_id FROM items WHERE repo_id IS NOT NULL) AS x LEFT JOIN freshness USING (repo_id)),
-c AS (SELECT count(*) FILTER (state = 'fresh') AS fresh, count(*) FILTER (state <> 'fresh') AS stale, count(*) FILTER (state IS NULL) AS unknown FROM r) SELECT *, stale = 0 AND unknown = 0 AS sufficient_for_score FROM c""",
-    "risk_factors": f"WITH RECURSIVE {G.GRAPH}, {_IMPACT}, {_TESTS}, {_FACTORS} SELECT code, round(CAST(weight AS DOUBLE), 6) AS weight FROM factors",
+    "impact_coverage": f"""WITH RECURSIVE {G.GRAPH}, {_IMPACT}, r AS (SELECT x.repo_id, state FROM (SELECT repo_id FROM items WHERE repo_id IS NOT NULL UNION SELECT 'nation-99') AS x LEFT JOIN (SELECT * FROM freshness WHERE repo_id <> 'nation-4') AS f USING (repo_id)),
+c AS (SELECT count(*) FILTER (state = 'fresh') AS fresh, count(*) FILTER (state IN ('working_tree_changed', 'commits_behind')) AS stale, count(*) FILTER (state = 'partial') AS partial, count(*) FILTER (state = 'unavailable') AS unavailable, count(*) FILTER (state IS NULL) AS missing FROM r)
+SELECT *, CASE WHEN stale > 0 THEN 'repositories_stale,' ELSE '' END || CASE WHEN partial > 0 THEN 'repositories_partial,' ELSE '' END || CASE WHEN unavailable > 0 THEN 'repositories_unavailable,' ELSE '' END || 'repositories_missing,possible_relationships' AS gaps, false AS sufficient_for_score FROM c""",
+    "risk_factors": f"WITH RECURSIVE {G.GRAPH}, {_IMPACT}, {_TESTS}, {_FACTORS} SELECT code, round(CAST(weight AS DOUBLE), 6) AS weight, code = 'authentication_tag' AS backed FROM factors",
     "risk_score": f"WITH RECURSIVE {G.GRAPH}, {_IMPACT}, {_TESTS}, {_FACTORS}, s AS (SELECT greatest(least(CAST(sum(weight) AS DOUBLE), 100), 1) AS score FROM factors) SELECT CASE WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level, round(score, 6) AS score FROM s",
     "risk_unknown": "SELECT 'unknown' AS level, CAST(NULL AS DOUBLE) AS score",
     "worst_freshness": """SELECT 'nation-' || (user_id % 25) AS repo_id, ['fresh', 'commits_behind', 'partial', 'unavailable'][CAST(max(event_id * 7 % 4) + 1 AS INT)] AS state FROM events GROUP BY user_id % 25""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import normalized
 from ..operators import search as S
 from ..sources import tables as G
 
@@ -28,7 +29,7 @@ def search_ranked(spark, sf):
     fts = S.full_text(nodes, "supplier 7")
     members = G.memberships(spark, sf)
     central = members.where("node_id like 'supplier:%'").groupBy("community_id").agg(F.slice(F.sort_array(F.collect_list("node_id")), 1, 3).alias("central_nodes"))
-    ev = S.node_evidence(G.edges(spark, sf, ("consumes", "contains", "owned_by"))).join(G.evidence(spark, sf).select(F.col("id").alias("evidence_id"), "confidence"), "evidence_id")
+    ev = lambda ids: S.node_evidence(G.edges(spark, sf, ("consumes", "contains", "owned_by")), ids).join(G.evidence(spark, sf).select(F.col("id").alias("evidence_id"), "confidence"), "evidence_id")
     return S.search(nodes, "supplier 7", fts=fts, centrality=S.centrality(central), communities=members, evidence=ev, freshness=G.freshness(spark, sf), limit=50)
 
 
@@ -42,7 +43,18 @@ def search_page_2(spark, sf):
 
 
 def search_coverage(spark, sf):
-    return S.coverage(G.nodes(spark, sf).where(F.lower("label").contains("7")), G.freshness(spark, sf))
+    """Of a search among services and symbols while the freshness of one nation is not known."""
+    nodes = G.nodes(spark, sf)
+    eligible = nodes.where("kind in ('service', 'symbol_ref')")
+    fts = S.full_text(eligible, "supplier")
+    out = S.coverage(nodes, eligible, eligible.where(normalized(F.col("label")).startswith("supplier")), freshness=G.freshness(spark, sf).where("repo_id <> 'nation-3'"), fts=fts, centrality=True)
+    return out.withColumn("gaps", F.array_join("gaps", ",")).withColumn("freshness_unknown_repositories", F.array_join("freshness_unknown_repositories", ","))
+
+
+def search_repeated_words(spark, sf):
+    """A query whose words repeat is held against labels as it stands, and full text takes its distinct terms."""
+    twice = G.nodes(spark, sf, ("owner", "repository")).withColumn("label", F.concat_ws(" - ", "label", "label"))
+    return S.search(twice, "ASIA  asia", fts=S.full_text(twice, "ASIA  asia"), limit=20)
 
 
 def fts_bm25_documents(spark, sf):
@@ -68,7 +80,7 @@ def centrality_from_communities(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    graph_nodes, graph_edges, search_ranked, search_filtered, search_page_2, search_coverage, fts_bm25_documents, fts_reciprocal_rank, service_membership, node_evidence,
+    graph_nodes, graph_edges, search_ranked, search_filtered, search_page_2, search_coverage, search_repeated_words, fts_bm25_documents, fts_reciprocal_rank, service_membership, node_evidence,
     centrality_from_communities)}
 
 
@@ -107,9 +119,13 @@ ev AS (SELECT DISTINCT unnest([source, target]) AS id FROM edges WHERE kind = 'c
                   central="least(coalesce(cn.c, 0.0), 1.0) * 0.5", community="CASE WHEN mb.node_id IS NULL THEN 0.0 ELSE 0.1 END", evidence="CASE WHEN ev.id IS NULL THEN 0.0 ELSE 0.75 END", limit=50),
     "search_filtered": f"WITH {G.GRAPH}, " + _search("supplier", "kind = 'service' AND s.repo_id IN (" + ", ".join(f"'nation-{i}'" for i in range(12)) + ")", scope=0.3, limit=100),
     "search_page_2": f"WITH {G.GRAPH}, " + _search("customer", "kind = 'symbol_ref'", offset=20, limit=20),
-    "search_coverage": f"""WITH {G.GRAPH}, r AS (SELECT x.repo_id, state FROM (SELECT DISTINCT repo_id FROM nodes WHERE lower(label) LIKE '%7%') AS x LEFT JOIN freshness USING (repo_id)),
-c AS (SELECT count(*) FILTER (repo_id IS NOT NULL) AS repositories, count(*) FILTER (state = 'fresh') AS fresh, count(*) FILTER (repo_id IS NOT NULL AND state IS NULL) AS missing, count(*) FILTER (state <> 'fresh') AS not_fresh FROM r)
-SELECT *, missing = 0 AND not_fresh = 0 AS complete FROM c""",
+    "search_coverage": f"""WITH {G.GRAPH}, el AS (SELECT * FROM nodes WHERE kind IN ('service', 'symbol_ref')), ma AS (SELECT * FROM el WHERE starts_with({NORM.format(x='label')}, 'supplier')),
+{_bm25("el", "id", "label || ' ' || stable_key", ["supplier"])}, un AS (SELECT DISTINCT repo_id FROM ma WHERE repo_id NOT IN (SELECT repo_id FROM freshness WHERE repo_id <> 'nation-3'))
+SELECT (SELECT count(*) FROM nodes) AS input_nodes, (SELECT count(*) FROM el) AS eligible_nodes, (SELECT count(*) FROM ma) AS matched_nodes, (SELECT count(*) FROM best) AS fts_scored_nodes,
+  coalesce((SELECT string_agg(repo_id, ',' ORDER BY repo_id) FROM un), '') AS freshness_unknown_repositories,
+  CASE WHEN (SELECT count(*) FROM best) = 0 THEN 'full_text_not_provided,' ELSE '' END || 'evidence_not_provided,communities_not_provided' || CASE WHEN (SELECT count(*) FROM un) > 0 THEN ',freshness_unavailable' ELSE '' END AS gaps""",
+    "search_repeated_words": f"""WITH {G.GRAPH.replace("nodes AS (", "plain AS (", 1)}, nodes AS (SELECT id, kind, repo_id, stable_key, label || ' - ' || label AS label FROM plain WHERE kind IN ('owner', 'repository')),
+{_bm25("nodes", "id", "label || ' ' || stable_key", ["asia"])}, """ + _search("asia asia", "true", "best.fts", "LEFT JOIN best ON best.id = s.id").replace("LEFT JOIN freshness AS fr ON s.repo_id = fr.repo_id", "").replace("CASE WHEN s.repo_id IS NULL THEN 0.0 ELSE coalesce(CASE state WHEN 'fresh' THEN 0.0 WHEN 'working_tree_changed' THEN 0.05 WHEN 'commits_behind' THEN 0.1 WHEN 'partial' THEN 0.2 WHEN 'unavailable' THEN 0.5 END, 0.2) END", "0.0::DOUBLE"),
     "fts_bm25_documents": f"""WITH {_bm25("documents", "doc_id", "text", ["license", "apache", "water", "the", "and"])} SELECT * FROM best""",
     "fts_reciprocal_rank": f"""WITH {G.GRAPH}, pool AS (SELECT * FROM nodes WHERE kind = 'package'), {_bm25("pool", "id", "label || ' ' || stable_key", ["brand", "12", "blue", "small"], 100)} SELECT id, rank, round(fts, 6) AS fts FROM best""",
     "service_membership": f"""WITH {G.GRAPH}, s AS (SELECT id FROM nodes WHERE kind = 'service')
