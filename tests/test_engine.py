@@ -301,3 +301,43 @@ def test_commit_verdicts(spark):
     assert verdict("only", ["a"]) == (False, ["ambiguous_layers"]) and verdict("only", ["d"]) == (True, []) and verdict("only", ["z"]) == (False, ["nothing_selected"])
     with pytest.raises(ValueError):
         changes.commit_gate(f, "only", ["--all"])
+
+
+def test_snapshots(spark, tmp_path):
+    from weftgraph.sources import snapshots
+
+    nodes, edges = graph(spark, [("a", "b"), ("b", "c")])
+    ev = spark.createDataFrame([("ev", "f.py")], "id string, file_path string")
+    root = str(tmp_path / "store")
+    snapshots.publish(spark, root, "s1", nodes, edges, ev)
+    with pytest.raises(RuntimeError):
+        snapshots.publish(spark, root, "s2", nodes, edges, ev)  # another one is current
+    with pytest.raises(ValueError):
+        snapshots.publish(spark, root, "s1", nodes, edges, ev, expected="s1")
+    assert snapshots.current(spark, root) == "s1"
+    snapshots.publish(spark, root, "s2", nodes.limit(1), edges.limit(0), ev, expected="s1")
+    assert snapshots.scan(spark, root, "nodes").count() == 1 and snapshots.scan(spark, root, "nodes", snapshot_id="s1").count() == nodes.count()
+    assert all(r.ok for r in snapshots.integrity(spark, root).collect())
+    nodes.write.mode("append").parquet(f"{root}/s2/nodes")
+    assert [r.table for r in snapshots.integrity(spark, root).collect() if not r.ok] == ["nodes"]
+    with pytest.raises(RuntimeError):
+        snapshots.backup(spark, root, str(tmp_path / "saved"))
+
+
+def test_all_extractors_read_a_file_once(spark):
+    from weftgraph.extract import run
+
+    text = "import requests\n@app.get('/a/{id}')\ndef read():\n    return requests.get('http://x/b')\n\ncur.execute('SELECT a FROM t')\n"
+    files = spark.createDataFrame([("r", "svc/a.py", text), ("r", "db/q.sql", "CREATE TABLE t (id INT);\n"), ("r", "README.md", "see [x](y.md)\n"), ("r", "none.bin", None)], "repo_id string, path string, text string")
+    found = run.everything(files)
+    for name in ("source_python", "sql", "markdown", "literal_sql"):
+        assert sorted(map(str, found[name].collect())) == sorted(map(str, run.extracted(files, name).collect())), name
+    assert found["source_python"].count() and found["sql"].count() and found["markdown"].count()
+
+
+def test_target_by_id_or_key(spark):
+    nodes, _ = graph(spark, [("a", "b")])
+    key = nodes.where("id = 'a'").first().stable_key
+    assert impact.resolved_target(nodes, "a") == "a" and impact.resolved_target(nodes, key) == "a"
+    with pytest.raises(LookupError):
+        impact.resolved_target(nodes, "nobody")

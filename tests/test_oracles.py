@@ -8,7 +8,7 @@ from weftgraph import plans
 
 from .conftest import SF, same
 
-QUICK = ("search", "linking", "composing", "compat", "changes", "reports", "extraction", "watch")
+QUICK = ("search", "linking", "building", "composing", "compat", "changes", "reports", "extraction", "watch")
 CASES = [(m, k) for m in plans.modules() if m.__name__.rsplit(".", 1)[1] in QUICK for k in m.QUERIES]
 GRAPH = ["trace_shortest", "traverse_bfs", "k_shortest_paths", "repository_ownership_closure", "impact_items", "risk_score", "connected_components", "community_metrics", "community_labels", "community_delta", "god_nodes"]
 

@@ -1,15 +1,17 @@
-"""Runs extractors over files: one pass, every file read once, each family with its own schema."""
+"""Runs extractors over files: one of them, or all in one pass that reads every file once; each family with its own schema."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import ROUTES
+from ..sources.shared import new_path
 from . import declared as D
 from . import source as S
 
@@ -70,5 +72,30 @@ def extracted(files: DataFrame, extractor: str | Extractor, *keys: str) -> DataF
     return rows.mapInPandas(run, f"{types}, {e.schema}")
 
 
+def _wanted() -> Column:
+    """The ids of the extractors that read a file(path, text)."""
+    def reads(e: Extractor) -> Column:
+        path = F.col("path").rlike(ROUTES[e.id]) if e.id in ROUTES else F.lit(True)
+        return F.when(path & F.col("text").rlike(e.marker) if e.marker else path, F.lit(e.id))
+
+    return F.array_compact(F.array(*map(reads, EXTRACTORS.values())))
+
+
+def observed(files: DataFrame) -> DataFrame:
+    """(extractor, repo_id, path, row) of all extractors over files(repo_id, path, text): one pass, every file read once; row is JSON."""
+    rows = files.where("text is not null").withColumn("wanted", _wanted()).where(F.size("wanted") > 0).select("repo_id", "path", "text", "wanted")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(i, repo, path, json.dumps(r)) for repo, path, text, wanted in batch.itertuples(index=False) for i in wanted for r in EXTRACTORS[i].extract(path, text)]
+            yield pd.DataFrame(out, columns=["extractor", "repo_id", "path", "row"])
+
+    return rows.mapInPandas(run, "extractor string, repo_id string, path string, row string")
+
+
 def everything(files: DataFrame) -> dict[str, DataFrame]:
-    return {i: extracted(files, i) for i in EXTRACTORS}
+    """The rows of each extractor; the files are read and parsed once, and the outcome is a written table in parts by extractor."""
+    path = new_path(files.sparkSession, "observations")
+    observed(files).write.partitionBy("extractor").parquet(path)
+    found = files.sparkSession.read.schema("repo_id string, path string, row string, extractor string").parquet(path)
+    return {i: found.where(F.col("extractor") == i).select("repo_id", "path", F.from_json("row", e.schema).alias("x")).select("repo_id", "path", "x.*") for i, e in EXTRACTORS.items()}

@@ -66,6 +66,22 @@ def impact(nodes: DataFrame, edges: DataFrame, target: str, *, direction: str =
 ORDER = ("class_rank", "depth", "repo_id", "stable_key", "id")
 
 
+def resolved_target(nodes: DataFrame, target: str) -> str:
+    """The id that a target names: a node's own, or the stable key of exactly one node."""
+    found = nodes.where((F.col("id") == target) | (F.col("stable_key") == target)).select("id", (F.col("id") == target).alias("own")).orderBy(F.desc("own"), "id").limit(3).collect()
+    if found and found[0].own:
+        return target
+    if len(found) != 1:
+        raise LookupError(f"{target!r} names {'several nodes' if found else 'no node'}")
+    return found[0].id
+
+
+def page(items: DataFrame, offset: int = 0, limit: int = 100, summary_only: bool = False) -> DataFrame:
+    """Items in order (class, depth, repository, stable key, id, path) from offset on; none if only the summary is asked for."""
+    rows = items.withColumn("class_rank", class_rank()).orderBy(*(F.asc_nulls_first(c) for c in ORDER), "path").drop("class_rank")
+    return rows.limit(0) if summary_only else rows.offset(offset).limit(limit)
+
+
 def _strongest(rows: DataFrame, *keys: str) -> DataFrame:
     g = rows.withColumn("_c", class_rank()).groupBy(*keys).agg(F.min("_c").alias("_c"), F.min("depth").alias("min_depth"), F.count("*").alias("items"))
     return g.withColumn("strongest", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("_c").cast("int"))).drop("_c")
@@ -89,15 +105,20 @@ def depth_buckets(items: DataFrame) -> DataFrame:
 
 
 def tests(items: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rank, test_id, label, classification, depth, command): tests that validate an item, the closest first."""
+    """(rank, test_id, label, classification, depth, command, owners): tests that validate an item, the closest first, with who owns them."""
     t = nodes.where("kind = 'test_case'").select(F.col("id").alias("test_id"), "label", F.col("stable_key").alias("test_key"))
     v = edges.where("kind = 'validates'")
     link = v.select(F.col("source").alias("test_id"), F.col("target").alias("id")).unionByName(v.select(F.col("target").alias("test_id"), F.col("source").alias("id")))
     hit = link.join(items.select("id", "classification", "depth"), "id").join(t, "test_id").withColumn("_c", class_rank())
-    one = hit.groupBy("test_id", "label", "test_key").agg(F.min(F.struct("_c", "depth", "classification")).alias("x")).select("test_id", "label", "test_key", "x.*")
+    one = written(hit.groupBy("test_id", "label", "test_key").agg(F.min(F.struct("_c", "depth", "classification")).alias("x")).select("test_id", "label", "test_key", "x.*"), "tests")
     command = F.when(F.col("label").endswith(".py"), F.concat(F.lit("pytest "), "label")).when(F.col("label").endswith(".rs"), F.lit("cargo test"))
-    place = F.dense_rank().over(Window.orderBy("_c", "depth", "test_key"))  # over the tests that are linked
-    return one.select(place.alias("rank"), "test_id", "label", "classification", "depth", command.alias("command"))
+    owns = edges.where("kind = 'owned_by'").join(one.select(F.col("test_id").alias("source")), "source", "left_semi").groupBy(F.col("source").alias("test_id")).agg(F.array_sort(F.collect_set("target")).alias("owners"))
+    # places from counts: as many rows as classes and depths, and within each the keys in order
+    groups = one.groupBy("_c", "depth").agg(F.count_distinct("test_key").alias("n"))
+    before = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_c", "depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.col("before") + F.dense_rank().over(Window.partitionBy("_c", "depth").orderBy("test_key"))
+    ranked = one.join(F.broadcast(before), ["_c", "depth"]).withColumn("rank", place.cast("int")).join(owns, "test_id", "left")
+    return ranked.select("rank", "test_id", "label", "classification", "depth", command.alias("command"), F.coalesce("owners", F.array().cast("array<string>")).alias("owners"))
 
 
 def worst_freshness(rows: DataFrame, severity: Column) -> DataFrame:

@@ -6,6 +6,7 @@ Ambiguity is never settled by chance: a link needs exactly one candidate, or the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,11 @@ def link_coverage(resolved: DataFrame) -> DataFrame:
     return resolved.agg(*(F.count_if(F.col("outcome") == x).alias(x) for x in ("linked", "no_provider", "ambiguous", "external")), F.count("*").alias("calls"))
 
 
+def gaps_of(gaps: DataFrame, hits: DataFrame) -> DataFrame:
+    """The link gaps of the nodes among the hits(id)."""
+    return gaps.join(hits.select(F.col("id").alias("caller")).distinct(), "caller", "left_semi")
+
+
 def link_gaps(resolved: DataFrame) -> DataFrame:
     return resolved.where("outcome <> 'linked'").select(F.col("call").alias("caller"), "method", "path", F.col("outcome").alias("reason"), "candidates")
 
@@ -281,19 +287,21 @@ def assembled(families: Sequence[DataFrame], first_wins: bool) -> DataFrame:
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_family")
 
 
-def validated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(problem, id) of a graph: duplicate ids, dangling ends, confidence out of range, unsafe or overlong text."""
+def validated(nodes: DataFrame, edges: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(problem, id) of a graph: duplicate ids, dangling ends, confidence out of range, unsafe or overlong text; of evidence also
+    reversed lines, and what edges repeat or name though it is missing."""
     ids = nodes.select("id")
-    unsafe = lambda c: F.col(c).rlike("[\\x00-\\x1f\\x7f\\u202a-\\u202e\\u2066-\\u2069]") | (F.octet_length(c) > 65536)
+    unsafe = lambda c: F.coalesce(F.col(c).rlike("[\\x00-\\x1f\\x7f\\u202a-\\u202e\\u2066-\\u2069]") | (F.octet_length(c) > 65536), F.lit(False))
+    bad = F.col("confidence").isNull() | F.isnan(F.col("confidence").cast("double")) | ~F.col("confidence").between(0, 1)
+    row = lambda df, problem: df.select(F.lit(problem).alias("problem"), "id")
+    twice = lambda df: df.groupBy("id").count().where("count > 1")
     parts = [
-        nodes.groupBy("id").count().where("count > 1").select(F.lit("duplicate_node").alias("problem"), "id"),
-        edges.groupBy("id").count().where("count > 1").select(F.lit("duplicate_edge").alias("problem"), "id"),
-        edges.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").select(F.lit("dangling_source").alias("problem"), "id"),
-        edges.join(ids.withColumnRenamed("id", "target"), "target", "left_anti").select(F.lit("dangling_target").alias("problem"), "id"),
-        edges.where("confidence is null or not (confidence between 0 and 1)").select(F.lit("confidence").alias("problem"), "id"),
-        nodes.where(unsafe("label") | unsafe("stable_key")).select(F.lit("unsafe_text").alias("problem"), "id"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        row(twice(nodes), "duplicate_node"), row(twice(edges), "duplicate_edge"), row(edges.join(ids.withColumnRenamed("id", "source"), "source", "left_anti"), "dangling_source"),
+        row(edges.join(ids.withColumnRenamed("id", "target"), "target", "left_anti"), "dangling_target"), row(edges.where(bad), "confidence"), row(nodes.where(unsafe("id") | unsafe("label") | unsafe("stable_key")), "unsafe_text"), row(edges.where(unsafe("id")), "unsafe_text")]
+    if evidence is not None:
+        texts = [c for c in ("id", "extractor", "extractor_version", "file_path", "observed_at_commit", "content_hash", "note") if c in evidence.columns]
+        named = edges.select("id", F.explode("evidence").alias("evidence_id"))
+        parts += [
+            row(twice(evidence), "duplicate_evidence"), row(evidence.where(bad), "evidence_confidence"), row(evidence.where("start_line > end_line"), "reversed_lines"), row(evidence.where(reduce(lambda x, y: x | y, map(unsafe, texts))), "unsafe_text"),
+            row(edges.where(F.size("evidence") > F.size(F.array_distinct("evidence"))), "repeated_evidence"), row(named.join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_anti").select("id").distinct(), "missing_evidence")]
+    return reduce(DataFrame.unionByName, parts)

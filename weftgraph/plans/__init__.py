@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("search", "linking", "graph", "compat", "changes", "reports", "composing", "extraction", "watch")
+AREAS = ("search", "linking", "building", "graph", "compat", "changes", "reports", "composing", "extraction", "watch")
 
 
 def modules():

@@ -103,7 +103,8 @@ def impact_contracts(spark, sf):
 
 def impact_tests(spark, sf):
     nodes, edges = _tests(spark, sf)
-    return P.tests(_items(spark, sf), edges, nodes)
+    owned = nodes.where("label like '%.py'").select(F.col("id").alias("source"), F.concat(F.lit("owner:"), "repo_id").alias("target"), F.lit("owned_by").alias("kind"))
+    return P.tests(_items(spark, sf), edges.unionByName(owned), nodes).withColumn("owners", F.array_join("owners", ","))
 
 
 def impact_coverage(spark, sf):
@@ -298,7 +299,7 @@ SELECT service_id, min(depth) AS min_depth, count(*) AS items, {_NAMES}[min(c)]
     "impact_depth_buckets": f"WITH RECURSIVE {G.GRAPH}, {_IMPACT} SELECT depth, " + ", ".join(f"count(*) FILTER (c = {i + 1}) AS {x}" for i, x in enumerate(P.CLASSES)) + " FROM items GROUP BY depth",
     "impact_contracts": f"WITH RECURSIVE {G.GRAPH}, {_IMPACT} SELECT id, kind, stable_key, classification, depth FROM items WHERE kind = 'http_operation'",
     "impact_tests": f"""WITH RECURSIVE {G.GRAPH}, {_IMPACT}, {_TESTS}
-SELECT dense_rank() OVER (ORDER BY c, depth, test_key) AS rank, test_id, t.label, classification, depth, CASE WHEN ends_with(t.label, '.py') THEN 'pytest ' || t.label ELSE 'cargo test' END AS command FROM tests AS t JOIN items AS i ON i.id = t.id""",
+SELECT dense_rank() OVER (ORDER BY c, depth, test_key) AS rank, test_id, t.label, classification, depth, CASE WHEN ends_with(t.label, '.py') THEN 'pytest ' || t.label ELSE 'cargo test' END AS command, CASE WHEN ends_with(t.label, '.py') THEN 'owner:' || string_split(test_key, ':')[2] ELSE '' END AS owners FROM tests AS t JOIN items AS i ON i.id = t.id""",
     "impact_coverage": f"""WITH RECURSIVE {G.GRAPH}, {_IMPACT}, r AS (SELECT x.repo_id, state FROM (SELECT repo_id FROM items WHERE repo_id IS NOT NULL UNION SELECT 'nation-99') AS x LEFT JOIN (SELECT * FROM freshness WHERE repo_id <> 'nation-4') AS f USING (repo_id)),
 c AS (SELECT count(*) FILTER (state = 'fresh') AS fresh, count(*) FILTER (state IN ('working_tree_changed', 'commits_behind')) AS stale, count(*) FILTER (state = 'partial') AS partial, count(*) FILTER (state = 'unavailable') AS unavailable, count(*) FILTER (state IS NULL) AS missing FROM r)
 SELECT *, CASE WHEN stale > 0 THEN 'repositories_stale,' ELSE '' END || CASE WHEN partial > 0 THEN 'repositories_partial,' ELSE '' END || CASE WHEN unavailable > 0 THEN 'repositories_unavailable,' ELSE '' END || 'repositories_missing,possible_relationships' AS gaps, false AS sufficient_for_score FROM c""",

@@ -242,9 +242,12 @@ def graph_assembly(spark, sf):
 
 
 def graph_validation(spark, sf):
+    """Services of every seventh key are missing, evidence of every fifth line range is reversed, and calls have no evidence at all."""
     k = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
     nodes = G.nodes(spark, sf, ("service", "http_operation", "symbol_ref")).where(~((F.col("kind") == "service") & (k % 7 == 0)))
-    return L.validated(nodes, G.edges(spark, sf, ("calls_remote", "consumes")))
+    evidence = G.evidence(spark, sf).withColumn("end_line", F.when(F.col("start_line") % 5 == 0, F.col("start_line") - 1).otherwise(F.col("end_line")))
+    edges = G.edges(spark, sf, ("calls_remote", "consumes")).withColumn("evidence", F.when(k % 11 == 0, F.concat("evidence", "evidence")).otherwise(F.col("evidence")))
+    return L.validated(nodes, edges, evidence)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -361,5 +364,7 @@ UNION ALL SELECT 's' || s_suppkey, 'missing_suppression' FROM supplier WHERE s_s
     "edge_consensus_merge": """WITH g AS (SELECT l_orderkey, l_suppkey, max(CAST((100 - 5 * round(l_discount * 100)) / 100 AS FLOAT)) AS c, string_agg(DISTINCT 'line:' || l_linenumber, ',' ORDER BY 'line:' || l_linenumber) AS evidence FROM lineitem GROUP BY ALL)
 SELECT 'order:' || l_orderkey || '>calls_remote>supplier:' || l_suppkey AS id, 'order:' || l_orderkey AS source, 'supplier:' || l_suppkey AS target, 'calls_remote' AS kind, round(CAST(c AS DOUBLE), 6) AS confidence, evidence, CASE WHEN c >= 1 THEN 'confirmed' ELSE 'inferred' END AS status FROM g""",
     "graph_assembly": f"WITH {G.GRAPH} SELECT id, kind, repo_id, stable_key, label || CASE WHEN CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) % 3 = 0 THEN ' (later)' ELSE '' END AS label FROM nodes WHERE kind IN ('service', 'symbol_ref')",
-    "graph_validation": f"WITH {G.GRAPH} SELECT 'dangling_target' AS problem, id FROM edges WHERE kind = 'calls_remote' AND CAST(regexp_extract(target, '[0-9]+$') AS BIGINT) % 7 = 0",
+    "graph_validation": f"""WITH {G.GRAPH}, e AS (SELECT *, CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) AS k FROM edges WHERE kind IN ('calls_remote', 'consumes'))
+SELECT 'dangling_target' AS problem, id FROM e WHERE kind = 'calls_remote' AND k % 7 = 0 UNION ALL SELECT 'repeated_evidence', id FROM e WHERE k % 11 = 0
+UNION ALL SELECT 'missing_evidence', id FROM e WHERE kind = 'calls_remote' UNION ALL SELECT 'reversed_lines', id FROM evidence WHERE start_line % 5 = 0""",
 }

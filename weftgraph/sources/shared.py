@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder, removed at exit, only where the session has none."""
+    """``spark.checkpoint.dir``; where the session has none and runs on one machine, a temporary folder, removed at exit."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             found = shared_dir.own = tempfile.mkdtemp(prefix="weftgraph-")
