@@ -232,6 +232,15 @@ def test_simhash_hot_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 4)
     assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == want and len(want) == 60
     assert simhash.similar(df).count() == 60
+    kept = sorted(map(tuple, simhash.deduplicated(df).collect()))
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    assert sorted(map(tuple, simhash.deduplicated(df).collect())) == kept and len(kept) == 21
+
+
+def test_number_of_partitions():
+    got = [simhash.partitions_for(10**k, 10) for k in range(3, 12)]
+    assert got == sorted(got, reverse=True) and got[0] > 4 and got[-1] < 5
+    assert simhash.partitions_for(1000, 4) == 5
 
 
 def test_simhash_empty_and_clashing(spark, odd, clashing):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, removed, shared_dir, written
 
-__all__ = ["chunks", "components", "joined", "n_parts", "new_name", "new_path", "removed", "shared_dir", "small_batches", "texts", "whole_text", "written"]
+__all__ = ["chunks", "components", "joined", "n_parts", "new_name", "new_path", "removed", "shared_dir", "small", "small_batches", "texts", "whole_text", "written"]
 
 def new_name(df: DataFrame, like: str) -> str:
     """A name that no column of df has."""
@@ -76,6 +76,15 @@ def joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return rows.join(hot, key).unionByName(rest)
 
 
+#: Rows of ids and hashes up to which a table goes to every task.
+SMALL_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it is checked to be small; else it is joined by a shuffle, with the same rows."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b): rows (node, label), label being the least node; only nodes with a link.
 

@@ -32,6 +32,8 @@ from . import common
 
 #: Index entries of a bucket that one task compares; larger buckets are dealt out in pairs of blocks.
 BLOCK = 50_000
+#: What an entry costs to ship and to sort, in comparisons of two fingerprints.
+ENTRY = 100.0
 #: A bucket with more verified pairs for an entry than this emits a spanning forest.
 DENSE = 2
 #: Buckets up to this size are compared many at a time.
@@ -163,7 +165,7 @@ class Plan:
                     new[:, d:] += dist[:, : self.most + 1 - d] * s[:, d : d + 1]
                 dist, at = new, at + 1
             probes = np.cumsum([math.comb(len(self.groups[i]), d) for d in range(self.most + 1)])
-            cost[:, i, 1:] = np.cumsum(dist, 1) * self.n + probes * 2.0
+            cost[:, i, 1:] = np.cumsum(dist, 1) * self.n + probes * ENTRY
         sums = self.total + m  # the sum of (threshold + 1)
         best = np.full((n, sums + 1), np.inf)
         best[:, 0] = 0
@@ -184,28 +186,44 @@ class Plan:
             out[:, i], left = t - 1, left - t
         return out
 
-    def keys(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, 1 for an index entry and 2 for a probe, position in fp) of every entry."""
+    def keys(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, position in fp) of every entry.  A key is twice its bucket, and one more for a probe."""
         bits = _bits(fp)
         allot, everyone = self.thresholds(bits), np.arange(len(fp))
-        bucket, kind, who = [], [], []
+        key, who = [], []
         for i, g in enumerate(self.groups):
             own = self._take(bits, g)
-            bucket.append(own + (i << 40))
-            kind.append(np.ones(len(fp), np.int8))
+            key.append((own + (i << 40)) * 2)
             who.append(everyone)
             for r in range(1, int(allot[:, i].max(initial=-1)) + 1):
                 some = np.flatnonzero(allot[:, i] >= r)
                 masks = np.array([sum(1 << b for b in c) for c in itertools.combinations(range(len(g)), r)], np.int64)
-                bucket.append(((own[some][:, None] ^ masks[None]) + (i << 40)).reshape(-1))
-                kind.append(np.full(len(some) * len(masks), 2, np.int8))
+                key.append((((own[some][:, None] ^ masks[None]) + (i << 40)) * 2 + 1).reshape(-1))
                 who.append(np.repeat(some, len(masks)))
-        return np.concatenate(bucket), np.concatenate(kind), np.concatenate(who)
+        return np.concatenate(key), np.concatenate(who)
 
+    def masks(self) -> np.ndarray:
+        """The bits of each partition."""
+        return np.array([sum(1 << b for b in g) for g in self.groups], np.uint64)
 
-def partitions_for(n: int) -> int:
-    """As many partitions as leave about four fingerprints a value: 5 for few fingerprints, 2 from some billions."""
-    return int(min(5, max(2, 64 // max(12.0, math.log2(max(n, 2)) - 2))))
+
+def partitions_for(n: int, max_bits: int) -> int:
+    """The number of partitions of the least cost, were all bits independent: fewer of them as there are more fingerprints."""
+
+    def cost(m: int) -> float:
+        best = {max_bits + 1: 0.0}  # the thresholds, plus one each, that are left
+        for i in range(m):
+            size = 64 // m + (i < 64 % m)
+            entries = [0, *itertools.accumulate(math.comb(size, d) for d in range(min(size, max_bits) + 1))]
+            each = [e * n / 2.0**size + max(e - 1, 0) * ENTRY for e in entries]
+            new: dict[int, float] = {}
+            for left, c in best.items():
+                for t, x in enumerate(each[: left + 1]):
+                    new[left - t] = min(new.get(left - t, math.inf), c + x)
+            best = new
+        return best.get(0, math.inf) + m * ENTRY
+
+    return min(range(2, 9), key=cost)
 
 
 def forest(fp: np.ndarray, indexed: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -243,8 +261,19 @@ def _some_pairs(fp: np.ndarray, n: int, max_bits: int) -> np.ndarray | None:
     return np.concatenate(found)
 
 
-def _bucket_links(bucket, kind, fp, max_bits):
-    """Links (fp, fp, 1 if of a forest) of whole buckets, sorted by bucket and kind."""
+def _met_before(a: np.ndarray, b: np.ndarray, group: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether two fingerprints are the same in a partition before the given one: there both are index entries of one bucket."""
+    differ, out = a ^ b, np.zeros(len(a), bool)
+    for i, m in enumerate(masks[:-1]):
+        out |= (group > i) & (differ & m == 0)
+    return out
+
+
+def _bucket_links(bucket, kind, group, fp, max_bits, masks):
+    """Links (fp, fp, 1 if of a forest) of whole buckets of partitions (group), sorted by bucket and kind.
+
+    A pair of a bucket without forest is left to an earlier partition in which the two are the same.
+    """
     cut = np.flatnonzero(np.diff(bucket)) + 1
     start, stop = np.concatenate(([0], cut)), np.concatenate((cut, [len(bucket)]))
     index = np.add.reduceat((kind == 1).astype(np.int64), start)
@@ -257,7 +286,8 @@ def _bucket_links(bucket, kind, fp, max_bits):
     times = index[small][own]
     left = np.repeat(row, times)
     right = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(rows[own], times)
-    near = (left > right) & (np.bitwise_count(fp[left] ^ fp[right]) <= max_bits)
+    near = np.flatnonzero((left > right) & (np.bitwise_count(fp[left] ^ fp[right]) <= max_bits))
+    near = near[~_met_before(fp[left[near]], fp[right[near]], group[left[near]], masks)]
     a.append(fp[left[near]])
     b.append(fp[right[near]])
     dense = [np.zeros(len(a[0]), np.int64)]
@@ -267,6 +297,8 @@ def _bucket_links(bucket, kind, fp, max_bits):
         pairs = _some_pairs(own, n, max_bits)
         if many := pairs is None:
             pairs = np.array(forest(own, np.arange(len(own)) < n, max_bits), np.int64).reshape(-1, 2)
+        else:
+            pairs = pairs[~_met_before(own[pairs[:, 0]], own[pairs[:, 1]], np.full(len(pairs), group[start[k]]), masks)]
         a.append(own[pairs[:, 0]])
         b.append(own[pairs[:, 1]])
         dense.append(np.full(len(pairs), int(many), np.int64))
@@ -281,7 +313,7 @@ def links(reps: DataFrame, max_bits: int = 4, marked: bool = False) -> DataFrame
     """
     columns = {"a": "long", "b": "long", "dense": "long"} if marked else {"a": "long", "b": "long"}
     n = reps.count()
-    groups, n = grouped_bits(reps, partitions_for(n))
+    groups, n = grouped_bits(reps, partitions_for(n, max_bits))
     plan = Plan(groups, max_bits)
     plan.learn(_summed(reps, plan.histogram), n)
 
@@ -289,8 +321,8 @@ def links(reps: DataFrame, max_bits: int = 4, marked: bool = False) -> DataFrame
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fp), 4096):
-                bucket, kind, who = plan.keys(fp[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(kind), pa.array(fp[at : at + 4096][who].view(np.int64))], ["bucket", "kind", "fp"])
+                key, who = plan.keys(fp[at : at + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at : at + 4096][who].view(np.int64))], ["key", "fp"])
 
     def own(batches):
         for batch in batches:
@@ -300,21 +332,23 @@ def links(reps: DataFrame, max_bits: int = 4, marked: bool = False) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(many)], ["bucket", "n"])
 
     hot = reps.select("fp").mapInArrow(own, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    # fewer than partitions * fingerprints / BLOCK
     hot = common.written(hot.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
-    rows = reps.select("fp").mapInArrow(entries, "bucket long, kind byte, fp long")
-    if hot.isEmpty():
-        rows = rows.withColumn("sub", F.lit(0))
-    else:  # a row meets every block of its bucket, as one of a pair of blocks
+    rows, sub = reps.select("fp").mapInArrow(entries, "key long, fp long"), []
+    bucket = F.shiftright("key", 1)
+    if not hot.isEmpty():  # a row meets every block of its bucket, as one of a pair of blocks
         me = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        rows = rows.join(hot, "bucket", "left").withColumn("sub", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
+        sub = ["sub"]
+        rows = rows.withColumn("bucket", bucket).join(hot, "bucket", "left").withColumn("sub", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
             F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.least(me, y) * F.col("blocks") + F.greatest(me, y))))).drop("blocks")
 
     def join(batches):
         held = None
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            own = held[0] >> 1
+            last = np.flatnonzero((own != own[-1]) | (held[1] != held[1][-1])) if sub else np.flatnonzero(own != own[-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield emit([x[:cut] for x in held])
@@ -323,11 +357,14 @@ def links(reps: DataFrame, max_bits: int = 4, marked: bool = False) -> DataFrame
             yield emit(held)
 
     def emit(x):
-        bucket = np.concatenate(([0], np.cumsum((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0))))
-        got = _bucket_links(bucket, x[2], x[3].view(np.uint64), max_bits)
+        new = np.diff(x[0] >> 1) != 0
+        number = np.concatenate(([0], np.cumsum(new | (np.diff(x[1]) != 0) if sub else new)))
+        got = _bucket_links(number, (x[0] & 1) + 1, x[0] >> 41, x[-1].view(np.uint64), max_bits, masks)
         return pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(len(columns))], list(columns))
 
-    dealt = rows.select("bucket", "sub", "kind", "fp").repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "kind")
+    masks = plan.masks()
+    # by bucket and sub, index entries before probes
+    dealt = rows.select(*(["key", "sub", "fp"] if sub else ["key", "fp"])).repartition(bucket, *sub).sortWithinPartitions(bucket, *sub, "key")
     return dealt.mapInArrow(join, ", ".join(f"{k} {v}" for k, v in columns.items())).distinct()
 
 
@@ -515,9 +552,9 @@ def _classes(docs: DataFrame, words: int, similarity: float, max_bits: int) -> D
     listed = common.written(_plausible(listed.unionByName(_pivots(members, max_bits)).distinct(), sketches, similarity), "candidates")
     nodes = grouped.groupBy("node").agg(F.min("first").alias("first"), F.sum("n_rows").alias("n_rows"))
     named = listed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct().join(nodes, "node")
-    # written, so that Spark knows its size: few are broadcast, and only the texts that are needed are shuffled, once
+    # few are broadcast, so that only the texts that are needed are shuffled, once
     named = common.written(named.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "node"), "named")
-    texts = common.whole_text(docs, "doc_id").withColumn("text_hash", F.xxhash64("text")).join(named, ["doc_id", "text_hash"])
+    texts = common.whole_text(docs, "doc_id").withColumn("text_hash", F.xxhash64("text")).join(common.small(named), ["doc_id", "text_hash"])
     texts = common.written(texts.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
     good = common.written(_verified(listed, texts, words, similarity), "verified")
     label = common.components(good)
@@ -559,6 +596,14 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_b
     """
     named = docs.where("doc_id is not null")
     own, name = F.xxhash64(F.coalesce("text", F.lit(""))), common.new_name(docs, "own")
-    keep = _classes(named, words, similarity, max_bits).where("doc_id = first.doc_id and text_hash = first.text_hash").select("doc_id", F.col("text_hash").alias(name)).distinct()
-    rows = named.withColumn(name, own).join(keep, ["doc_id", name], "left_semi")
-    return rows.dropDuplicates(["doc_id", name]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = named.withColumn(name, own)
+    key = ["doc_id", name]
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    each = _classes(named, words, similarity, max_bits).groupBy("doc_id", F.col("text_hash").alias(name)).agg(F.count("*").alias("many"), F.bool_and(stays).alias("stays"))
+    # what goes, and what repeats, are few beside what stays as it is
+    each = common.written(each.where("many > 1 or not stays"), "decisions")
+    out = rows.join(common.small(each.select(key)), key, "left_anti").select(docs.columns)
+    again = each.where("many > 1 and stays").select(key)
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(common.small(again), key, "left_semi").dropDuplicates(key).select(docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
