@@ -2,7 +2,8 @@
 
 Texts dominate what such a shuffle writes, and row-wise shuffles compress them badly.  Here every task packs the rows that go
 to the same key range into Arrow blocks with zstandard, so that about half the bytes are written.  Ranges are quantiles of the
-key, as many as keep a range to ``RANGE_BYTES`` of text on average (shuffle partitions at least, ``MOST_RANGES`` at most); each is
+key, as many as keep a range to ``RANGE_BYTES`` on average, by Spark's own estimate of the input (shuffle partitions at least,
+``MOST_RANGES`` at most); each is
 put in order by the task that receives it, one range at a time in memory.  Rows that share a key lie in one range.
 """
 
@@ -20,8 +21,8 @@ from . import common
 
 #: Bytes that a task gathers before it packs them.
 PACK_BYTES = 16 << 20
-#: Text bytes of a range, on average.
-RANGE_BYTES = 64 << 20
+#: Bytes of a range as Spark estimates them; of Parquet files, the compressed size.
+RANGE_BYTES = 32 << 20
 MOST_RANGES = 100_000
 NULL_KEY = -(2**63)
 
@@ -70,7 +71,7 @@ def in_ranges(
     rows: the key (a long) and ``text``, no null texts.  With ``with_next`` the first row of the following range comes along, of the
     first range after the last one.
     """
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = common.estimated_bytes(rows)
     parts = max(common.n_parts(rows.sparkSession), min(MOST_RANGES, -(-size // RANGE_BYTES)))
     least, firsts = bounds(rows, key, parts)
     edges = np.array(firsts, np.int64)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, removed, shared_dir, written
 
-__all__ = ["chunks", "components", "joined", "n_parts", "new_name", "new_path", "removed", "shared_dir", "small", "small_batches", "texts", "whole_text", "written"]
+__all__ = ["chunks", "components", "estimated_bytes", "joined", "n_parts", "new_name", "new_path", "removed", "shared_dir", "small", "small_batches", "texts", "whole_text", "written"]
 
 def new_name(df: DataFrame, like: str) -> str:
     """A name that no column of df has."""
@@ -62,6 +62,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size, without a job; 0 where it has none.  Good for numbers of partitions, never for results."""
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:  # a remote session
+        return 0
+    return size if size < 1 << 60 else 0
+
+
 #: A key with more than one row in so many is hot; there are fewer than so many such keys.
 HOT = 1000
 

@@ -19,7 +19,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +150,11 @@ class Encoder:
         if len(self.at) > REMEMBERED:
             self._forget_rare()
         distinct = coded.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.at]:
-            self._learn(new)
-        known = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+        known = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(known < 0)):
+            words = [distinct[i] for i in new.tolist()]
+            self._learn(words)
+            known[new] = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         at = coded.indices.to_numpy(zero_copy_only=False)
         self.met[known] += np.bincount(at, minlength=len(known)).astype(np.int32)
         words = known[at]
