@@ -7,6 +7,11 @@
 5. pieces: the texts as SentencePiece ids, with proof that they decode to the texts.
 
 A stage's result is written and read again before the next one.
+
+Null and empty texts pass every stage as empty ones (they have no shingles, so one of them stays); a null doc_id is kept, as no other
+row can name it.  Rows that repeat doc_id and text are near duplicates of each other; different texts of one doc_id are not,
+unless they are similar.  Further columns, whatever their names, come out as they went in, of all but the last stage.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pieces", pieces_stage),
 ]
 
-#: The first and the last stage are beyond SQL; the tests hold run() against a brute-force version.
+#: The first and the last stage are beyond SQL; tests/llm/test_pipeline.py holds run() against every stage done by hand.
 ORACLE_SQL = None
 
 
