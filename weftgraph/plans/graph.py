@@ -178,7 +178,7 @@ def god_nodes(spark, sf):
 
 def pagerank_64(spark, sf):
     nodes, edges = _whole(spark, sf)
-    return C.page_rank(nodes, C.accepted_edges(edges, 0.5)).withColumn("rank", F.round("rank", 6))
+    return C.page_rank(nodes, C.accepted_edges(edges, 0.5))
 
 
 def _central(spark, sf):
@@ -274,7 +274,7 @@ r0 AS MATERIALIZED (SELECT id AS node, 1.0 / n AS rank FROM sn, cnt)"""]
     for k in range(1, rounds + 1):
         parts.append(f"""r{k} AS MATERIALIZED (SELECT p.node, 0.15 / n + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE node NOT IN (SELECT source FROM sh)) / n) AS rank
 FROM r{k - 1} AS p LEFT JOIN (SELECT target, sum(rank * share) AS got FROM r{k - 1} JOIN sh ON node = source GROUP BY target) AS g ON g.target = p.node, cnt)""")
-    return ",\n".join(parts) + f"\nSELECT node, round(round(rank, 9), 6) AS rank FROM r{rounds}"
+    return ",\n".join(parts) + f"\nSELECT node, round(rank, 9) AS rank FROM r{rounds}"
 
 
 ORACLE_SQL = {
